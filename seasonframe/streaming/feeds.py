@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,17 +22,18 @@ def _table(path: str, batch_id: int) -> str:
     return f"{path}/v={batch_id:012d}"
 
 
-def _newest_before(spark: SparkSession, path: str, batch_id: int) -> str | None:
-    """Newest written table version below the batch. A retried batch finds its own input again."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(jvm_path)]
-    done = sorted(
-        n for n in names if n.startswith("v=") and int(n[2:]) < batch_id
-        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    return f"{path}/{done[-1]}" if done else None
+def _read_before(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame | None:
+    """Newest table version below the batch, so a retried batch finds its own input again."""
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
+        raise
+    if batch_id is not None:
+        versions = versions.filter(F.col("v") < batch_id)
+    newest = versions.agg(F.max("v")).first()[0]
+    return None if newest is None else versions.filter(F.col("v") == newest).drop("v")
 
 
 def classify_stream(stream: DataFrame, state_path: str, out_path: str, checkpoint: str, id_col: str,
@@ -43,8 +45,8 @@ def classify_stream(stream: DataFrame, state_path: str, out_path: str, checkpoin
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        previous = _newest_before(spark, state_path, batch_id)
-        stored = spark.read.parquet(previous) if previous else batch.select(id_col, hash_col).limit(0)
+        stored = _read_before(spark, state_path, batch_id)
+        stored = batch.select(id_col, hash_col).limit(0) if stored is None else stored
         classified = inc.classify_feed(batch, stored, id_col, arrival, hash_col)
         classified.write.mode("overwrite").parquet(_table(out_path, batch_id))
         written = spark.read.parquet(_table(out_path, batch_id)).filter(F.col("change").isin("new", "changed"))
@@ -61,8 +63,8 @@ def apply_stream(stream: DataFrame, store_path: str, checkpoint: str, to_batch,
         spark = batch.sparkSession
         parts = {}
         for name in inc.ReportStore._fields:
-            previous = _newest_before(spark, f"{store_path}/{name}", batch_id)
-            parts[name] = spark.read.parquet(previous) if previous else getattr(empty, name)
+            stored = _read_before(spark, f"{store_path}/{name}", batch_id)
+            parts[name] = getattr(empty, name) if stored is None else stored
         after = inc.apply_documents(inc.ReportStore(**parts), to_batch(batch))
         for name in inc.ReportStore._fields:
             getattr(after, name).write.mode("overwrite").parquet(_table(f"{store_path}/{name}", batch_id))
@@ -74,7 +76,7 @@ def apply_stream(stream: DataFrame, store_path: str, checkpoint: str, to_batch,
 def latest_store(spark: SparkSession, store_path: str) -> inc.ReportStore:
     """Newest version of every table of the store."""
     return inc.ReportStore(**{
-        name: spark.read.parquet(_newest_before(spark, f"{store_path}/{name}", 1 << 40))
+        name: _read_before(spark, f"{store_path}/{name}")
         for name in inc.ReportStore._fields})
 
 
@@ -85,9 +87,9 @@ def state_change_stream(stream: DataFrame, state_path: str, out_path: str, check
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        previous = _newest_before(spark, state_path, batch_id)
+        previous = _read_before(spark, state_path, batch_id)
         rows = batch.select(*columns)
-        history = rows if not previous else rows.unionByName(spark.read.parquet(previous))
+        history = rows if previous is None else rows.unionByName(previous)
         changes = inc.state_changes(history, entity, at, fields, bucket)
         changes.write.mode("overwrite").parquet(_table(out_path, batch_id))
         keep = [c for c in columns if c not in entity]
