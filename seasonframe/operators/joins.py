@@ -41,9 +41,9 @@ def attach_id_fallback(df: DataFrame, ids: DataFrame, key1: str, key2: str, id_c
 def unpivot_ids(df: DataFrame, id_col: str, cols: list[str],
                 rename: Mapping[str, str] | None = None) -> DataFrame:
     """Wide id columns to (id, provider, external_id); blanks out; one row per external id."""
-    provider = F.regexp_replace("provider", "_id$", "")
+    bare = provider = F.regexp_replace("provider", "_id$", "")
     for old, new in (rename or {}).items():
-        provider = F.when(F.col("provider") == old, new).otherwise(provider)
+        provider = F.when(bare == old, new).otherwise(provider)
     wide = df.select(id_col, *[F.col(c).cast("string").alias(c) for c in cols])
     long = (
         wide.unpivot([id_col], cols, "provider", "external_id")
@@ -301,7 +301,7 @@ def with_fallback(primary: DataFrame, secondary: DataFrame, by: list[str], seaso
 def link_names(docs: DataFrame, doc_id: str, names_col: str, entities: DataFrame,
                entity_id: str, name_col: str) -> DataFrame:
     """Distinct sorted entity ids per document by case-insensitive name equality."""
-    mentions = docs.select(doc_id, F.lower(F.explode(names_col)).alias("_name"))
+    mentions = docs.select(doc_id, F.explode(F.transform(names_col, F.lower)).alias("_name"))
     linked = mentions.join(
         entities.select(F.lower(name_col).alias("_name"), entity_id), "_name").select(doc_id, entity_id).distinct()
     return linked.groupBy(doc_id).agg(F.array_sort(F.collect_list(entity_id)).alias("entity_ids"))
