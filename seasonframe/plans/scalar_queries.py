@@ -126,7 +126,7 @@ def points(spark, d):
 @query("P10_format_from_settings", f"""
 WITH {FACTS}, t AS (SELECT entity, list(team) AS slots, avg(CASE WHEN status = 'P' THEN 1 ELSE 0 END) AS rec FROM facts GROUP BY entity)
 SELECT entity, CASE WHEN rec >= 0.75 THEN 'ppr' WHEN rec >= 0.25 THEN 'half_ppr' ELSE 'standard' END AS scoring,
-  list_contains(slots, '1-URGENT') OR len(list_filter(slots, x -> x = '2-HIGH')) > 1 AS two_qb FROM t""")
+  list_contains(slots, '1-URGENT') OR len(list_filter(slots, lambda x: x = '2-HIGH')) > 1 AS two_qb FROM t""")
 def settings(spark, d):
     slot = F.when(F.col("team") == "1-URGENT", "SUPER_FLEX").when(F.col("team") == "2-HIGH", "QB").otherwise("RB")
     t = facts(spark, d).groupBy("entity").agg(
@@ -138,7 +138,7 @@ def settings(spark, d):
 
 @query("P11_snippet", """
 SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'),
-  x -> trim(x) <> '' AND NOT starts_with(ltrim(x), '#')), x -> trim(regexp_replace(x, '^- ', ''))), ' ') AS snippet FROM documents""")
+  lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')), lambda x: trim(regexp_replace(x, '^- ', ''))), ' ') AS snippet FROM documents""")
 def snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", S.snippet(F.col("text")).alias("snippet"))
 
@@ -240,10 +240,10 @@ def boundaries(spark, d):
 
 
 @query("P18_band_by_boundaries", f"""
-WITH {BOUNDS} SELECT o_orderkey, len(list_filter(bs, x -> x <= o_totalprice))::BIGINT AS band FROM orders, bounds""")
+WITH {BOUNDS} SELECT o_orderkey, len(list_filter(bs, lambda x: x <= o_totalprice))::BIGINT AS band FROM orders, bounds""")
 def bands(spark, d):
-    return table(spark, d, "orders").select(
-        "o_orderkey", S.band_by_boundaries(F.col("o_totalprice"), boundaries(spark, d).scalar()).alias("band"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice").withColumn("bs", boundaries(spark, d).scalar())
+    return o.select("o_orderkey", S.band_by_boundaries(F.col("o_totalprice"), F.col("bs")).alias("band"))
 
 
 @query("P19_linear_boundaries", f"""
