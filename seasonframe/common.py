@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,14 +30,14 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared checkpoint folder named by the cluster; `fallback` only when the session names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or fallback
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def work_dir(spark: SparkSession) -> str:
+    """Folder for written intermediate tables, new for every call.
+
+    It lies in the shared folder the cluster names in spark.checkpoint.dir; only a session that
+    names none, as in tests, gets a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def bucket_bounds(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:

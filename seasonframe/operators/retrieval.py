@@ -65,10 +65,11 @@ def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], quer
     terms some query uses; length is the total token count. Query terms join by equality; the
     document side is never compared with a query it shares no term with.
     """
-    weighted = F.flatten(F.array(*[
-        F.transform(tokens(F.coalesce(col, F.lit(""))), lambda t, w=FIELD_WEIGHTS.get(name, 1.0): F.struct(
-            t.alias("term"), F.lit(w).alias("w")))
-        for name, col in fields.items()]))
+    def weigh(name: str, col: Column) -> Column:
+        weight = F.lit(FIELD_WEIGHTS.get(name, 1.0)).alias("w")
+        return F.transform(tokens(F.coalesce(col, F.lit(""))), lambda t: F.struct(t.alias("term"), weight))
+
+    weighted = F.flatten(F.array(*[weigh(name, col) for name, col in fields.items()]))
     rows = docs.select(doc_id, weighted.alias("_t"), *([tie.alias("_tie")] if tie is not None else []))
     rows = rows.withColumn("_len", F.size("_t"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))

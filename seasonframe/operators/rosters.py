@@ -37,11 +37,12 @@ def open_slots(picks: DataFrame, by: list[str], position: str, need: Mapping[str
 
 def flatten_transactions(tx: DataFrame) -> DataFrame:
     """One row per player move: the adds and drops maps exploded, millisecond epoch to UTC time."""
-    moves = F.concat(*[
-        F.transform(F.map_entries(F.coalesce(F.col(field), F.create_map().cast("map<string,int>"))),
-                    lambda e, a=action: F.struct(F.lit(a).alias("action"), e["key"].alias("player_id"),
-                                                 e["value"].alias("roster_id")))
-        for action, field in (("add", "adds"), ("drop", "drops"))])
+    def entries(field: str, action: str) -> Column:
+        pairs = F.map_entries(F.coalesce(F.col(field), F.create_map().cast("map<string,int>")))
+        return F.transform(pairs, lambda e: F.struct(
+            F.lit(action).alias("action"), e["key"].alias("player_id"), e["value"].alias("roster_id")))
+
+    moves = F.concat(entries("adds", "add"), entries("drops", "drop"))
     return tx.select(
         "transaction_id", "type", "status", F.timestamp_millis("created_ms").alias("created_at"), F.inline(moves))
 

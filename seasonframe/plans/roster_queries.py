@@ -210,8 +210,7 @@ def problems(spark, d):
     pick = F.when(F.col("balance") < 0, F.lit(None)).when(F.col("balance") > 9500, F.col("player_id") + 1000000).otherwise(F.col("player_id"))
     proposed = slotted(p.filter("place <= 7"), "position").join(
         p.select("roster", "player_id", pick.alias("_p")), ["roster", "player_id"]).select("roster", "slot_id", F.col("_p").alias("player_id"))
-    kinds = F.explode(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k, s=s: F.struct(F.lit(s).alias("slot_type"), F.concat(F.lit(f"{s}#"), k.cast("string")).alias("slot_id")))
-        for s, n in (("QB", 1), ("RB", 2), ("WR", 2), ("TE", 1))])))
-    slot_rows = p.select("roster").distinct().select("roster", kinds.alias("s")).select("roster", "s.slot_id", "s.slot_type")
+    ids = F.lit(["QB#1", "RB#1", "RB#2", "WR#1", "WR#2", "TE#1"])
+    slot_rows = p.select("roster").distinct().select("roster", F.explode(ids).alias("slot_id")).withColumn(
+        "slot_type", F.substring_index("slot_id", "#", 1))
     return ro.lineup_problems(proposed, p, slot_rows, ["roster"])

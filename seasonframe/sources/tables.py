@@ -141,7 +141,7 @@ def current_versions(versions: DataFrame, id_col: str, order: list[Column]) -> D
     return versions.groupBy(id_col).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_v")).select(id_col, "_v.*")
 
 
-def snapshot_chain(chain: list[tuple[DataFrame, int | None]], id_col: str) -> DataFrame:
+def snapshot_chain(chain: list[tuple[DataFrame, int | Column | None]], id_col: str) -> DataFrame:
     """Union of a base snapshot and its children, oldest first.
 
     Reading fails when an id repeats along the chain or a declared count differs from the rows so far.
@@ -151,8 +151,9 @@ def snapshot_chain(chain: list[tuple[DataFrame, int | None]], id_col: str) -> Da
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         if expected is not None:
             n = out.agg(F.count(F.lit(1)).alias("n")).scalar()
-            message = F.concat(F.lit(f"expected {expected} documents, found "), n.cast("string"))
-            out = out.filter(F.when(n != expected, F.raise_error(message).cast("boolean")).otherwise(True))
+            wanted = expected if isinstance(expected, Column) else F.lit(expected)
+            message = F.concat(F.lit("documents found: "), n.cast("string"), F.lit(", expected: "), wanted.cast("string"))
+            out = out.filter(F.when(n != wanted, F.raise_error(message).cast("boolean")).otherwise(True))
     repeats = out.groupBy(id_col).count().filter("count > 1").agg(F.count(F.lit(1)).alias("n")).scalar()
     return out.filter(
         F.when(repeats > 0, F.raise_error(F.lit("document id repeats in the chain")).cast("boolean")).otherwise(True))
