@@ -119,21 +119,21 @@ SNAPSHOTS = """snapshots AS (
 
 
 def stored_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Stored reports: the labelled documents; those of low quality were stored in another wording."""
+    """Stored reports: the labelled documents; those of low quality were stored in a revised wording."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    text = F.when(F.col("quality") == 0, F.upper("text")).otherwise(F.col("text"))
+    text = F.when(F.col("quality") == 0, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
     return docs.join(labels, "doc_id").select(
         "doc_id", text.alias("text"), "lang", "source", "quality", "toxic", F.sha2(text, 256).alias("hash"))
 
 
 STORED = """stored AS (
-  SELECT doc_id, CASE WHEN quality = 0 THEN upper(text) ELSE text END AS text, lang, source, quality, toxic,
-         sha256(CASE WHEN quality = 0 THEN upper(text) ELSE text END) AS hash
+  SELECT doc_id, CASE WHEN quality = 0 THEN text || ' (revised)' ELSE text END AS text, lang, source, quality, toxic,
+         sha256(CASE WHEN quality = 0 THEN text || ' (revised)' ELSE text END) AS hash
   FROM documents JOIN labels USING (doc_id))"""
 
 
 def feed_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Feed items: every document; its id is the text hash's first document, so copies repeat an id."""
+    """Feed items: every document with the hash of its text."""
     return table(spark, d, "documents").select(
         "doc_id", "text", "lang", "source", "n_chars", F.sha2("text", 256).alias("hash"))
 
