@@ -49,7 +49,8 @@ def bucket_bounds(df: DataFrame, col: str, buckets: int | None = None) -> list[f
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     buckets = max(2, min(buckets, MAX_BUCKETS))
     probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(col, probs, 0.5 / buckets)))
+    numbers = df.select(F.col(col).cast("double").alias("_v"))
+    return sorted(set(numbers.approxQuantile("_v", probs, 0.5 / buckets)))
 
 
 def bucket_of(col: Column, bounds: list[float]) -> Column:
@@ -59,16 +60,14 @@ def bucket_of(col: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.lit(bounds), lambda b: b <= col))
 
 
-def counts_below(df: DataFrame, value: str, by: list[str], desc: bool) -> DataFrame:
+def counts_below(df: DataFrame, value: str, by: list[str], desc: bool, bounds: list[float]) -> DataFrame:
     """One row per (by, value): `n_before` = rows of the group that sort strictly before the value.
 
     Ties collapse in the map-side count, then value buckets bound every window: the inner window
     sees one bucket of one group, the outer one sees at most MAX_BUCKETS rows of a group.
     """
     per_value = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    per_value = per_value.withColumn("_sort", F.col(value).cast("double"))
-    bucket = bucket_of(F.col("_sort"), bucket_bounds(per_value, "_sort"))
-    per_value = per_value.withColumn("_bucket", bucket)
+    per_value = per_value.withColumn("_bucket", bucket_of(F.col(value).cast("double"), bounds))
 
     def order(c: str) -> Column:
         return F.col(c).desc() if desc else F.col(c).asc()

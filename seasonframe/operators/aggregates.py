@@ -92,10 +92,17 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assert_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The same frame; reading it fails when a key repeats (checked by the job that reads it)."""
-    repeats = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("n")).scalar()
-    message = F.concat(F.lit(f"{name}: repeated keys: "), repeats.cast("string"))
-    return df.filter(F.when(repeats > 0, F.raise_error(message).cast("boolean")).otherwise(True))
+    """The same rows; reading them fails when a key repeats.
+
+    The check is one aggregate on the keys: no second read, and no shuffle when the frame is
+    already partitioned by them.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    message = F.concat(F.lit(f"{name}: repeated key "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
+    return grouped.filter(checked).select(*keys, "_row.*").select(df.columns)
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -8,24 +8,31 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import all_of, counts_below, numbered
+from ..common import all_of, bucket_bounds, counts_below, numbered
 from ..functions.formulas import INVALID, ZERO, compile_formula
 from ..functions.scalars import literal_map, ratio, snake_pick
 
 
-def competition_rank(df: DataFrame, value: str, by: list[str] | None = None, desc: bool = False,
-                     name: str = "rank") -> DataFrame:
-    """Rank 1, 2, 2, 4 within the group (or over all rows); a null sorts as 0.
+def competition_ranks(df: DataFrame, value: str, ranks: Mapping[str, list[str]], desc: bool = False) -> DataFrame:
+    """Add ranks 1, 2, 2, 4 of one value under several groupings {name: group columns}; a null sorts as 0.
 
-    The rank is one more than the rows that sort before, taken from counts per distinct value, so
-    neither a hot group nor the whole table passes through one window.
+    A rank is one more than the rows that sort before, taken from counts per distinct value, so
+    neither a hot group nor the whole table passes through one window. All groupings share one set
+    of value buckets and start from the same rows.
     """
-    by = by or []
-    keyed = df.withColumn("_v", F.coalesce(F.col(value), F.lit(0)))
-    below = counts_below(keyed, "_v", by, desc)
-    same = all_of([F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_v"]])
-    return keyed.alias("l").join(below.alias("r"), same).select(
-        *[F.col(f"l.{c}") for c in df.columns], (F.col("r.n_before") + 1).alias(name))
+    out = keyed = df.withColumn("_v", F.coalesce(F.col(value), F.lit(0)))
+    bounds = bucket_bounds(keyed, "_v")
+    for name, by in ranks.items():
+        below = counts_below(keyed, "_v", by, desc, bounds).withColumn(name, F.col("n_before") + 1)
+        same = all_of([F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_v"]])
+        out = out.alias("l").join(below.alias("r"), same).select("l.*", f"r.{name}")
+    return out.drop("_v")
+
+
+def competition_rank(df: DataFrame, value: str, by: list[str] | None = None, desc: bool = False,
+                     name: str = "rank") -> DataFrame:
+    """One competition rank, within a group or over all rows."""
+    return competition_ranks(df, value, {name: by or []}, desc)
 
 
 def rank_of_one(df: DataFrame, value: str, wanted: Column) -> DataFrame:
@@ -95,8 +102,8 @@ def expected_vs_actual(ranks: DataFrame, results: DataFrame, id_col: str, group_
     missing = ranks.join(results.select(id_col), id_col, "left_anti").select(
         id_col, F.col(group_col).alias("_g"), F.lit(0).alias("_p"))
     pool = actual.unionByName(missing).withColumn("_g", F.coalesce("_g", F.lit("UNKNOWN")))
-    finish = competition_rank(pool, "_p", desc=True, name="actual_overall_finish")
-    finish = competition_rank(finish, "_p", ["_g"], desc=True, name="actual_position_finish")
+    finish = competition_ranks(
+        pool, "_p", {"actual_overall_finish": [], "actual_position_finish": ["_g"]}, desc=True)
     season = results.select(id_col, F.col(games).alias("_games"), F.col(points).alias("_points"))
     joined = ranks.join(finish.drop("_g", "_p"), id_col).join(season, id_col, "left")
     n = F.coalesce("_games", F.lit(0))

@@ -81,7 +81,9 @@ def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], quer
         .groupBy("term", doc_id).agg(F.sum("w").alias("tf"), F.first("_len").alias("_len"),
                                      *[F.first(c).alias(c) for c in extra])
     )
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counted over the columns the score needs too, so both branches read the same shuffle.
+    whole = F.when(F.col("_len").isNotNull(), F.struct("tf", *extra))
+    frequency = postings.groupBy("term").agg(F.count(whole).alias("df"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     weights = terms.join(frequency, "term").select(
         query_id, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

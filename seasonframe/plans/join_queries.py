@@ -147,17 +147,14 @@ def merge(spark, d):
 
 
 @query("J12_opponent_of", """
-WITH m AS (SELECT c_nationkey AS league, c_custkey AS roster,
-    CASE WHEN c_acctbal >= 0 THEN (row_number() OVER (PARTITION BY c_nationkey, c_acctbal >= 0 ORDER BY c_custkey) - 1) // 2 END AS matchup FROM customer)
-SELECT a.league::BIGINT AS league, a.roster, a.matchup, b.roster AS opponent_id FROM m a
+WITH m AS (SELECT c_custkey // 20 AS league, c_custkey AS roster, CASE WHEN c_acctbal >= 0 THEN c_custkey % 20 // 2 END AS matchup FROM customer)
+SELECT a.league, a.roster, a.matchup, b.roster AS opponent_id FROM m a
 LEFT JOIN m b ON a.league = b.league AND a.matchup = b.matchup AND a.roster <> b.roster""")
 def opponents(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_nationkey", F.col("c_acctbal") >= 0).orderBy("c_custkey")
+    key = F.col("c_custkey")
     m = table(spark, d, "customer").select(
-        F.col("c_nationkey").alias("league"), F.col("c_custkey").alias("roster"),
-        F.when(F.col("c_acctbal") >= 0, F.floor((F.row_number().over(w) - 1) / 2)).alias("matchup"))
+        F.floor(key / 20).alias("league"), key.alias("roster"),
+        F.when(F.col("c_acctbal") >= 0, F.floor(key % 20 / 2)).alias("matchup"))
     return jn.opponent_of(m, "matchup", "roster", ["league"])
 
 

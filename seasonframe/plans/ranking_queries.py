@@ -156,8 +156,7 @@ def compared(spark, d):
     grp = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("grp"))
     rows = season_rows(spark, d).join(grp, "entity")
     prev = rows.filter("season = 1996").select("entity", "grp", "points")
-    ranks = rk.competition_rank(prev, "points", desc=True, name="overall_rank")
-    ranks = rk.competition_rank(ranks, "points", ["grp"], desc=True, name="position_rank").drop("points")
+    ranks = rk.competition_ranks(prev, "points", {"overall_rank": [], "position_rank": ["grp"]}, desc=True).drop("points")
     results = rows.filter("season = 1997").select("entity", "grp", "games", "points")
     return rk.expected_vs_actual(ranks, results, "entity", "grp", "overall_rank", "position_rank", "points", "games")
 
