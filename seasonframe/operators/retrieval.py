@@ -57,39 +57,67 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(query_id, F.explode(F.when(F.size(kept) > 0, kept).otherwise(words)).alias("term"))
 
 
+# A query side is broadcast up to this many rows, counted first; beyond it Spark joins by shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True when a count that stops early shows the frame is small enough to broadcast."""
+    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
 def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame,
                    query_id: str, text: str, k: int, tie: Column | None = None) -> DataFrame:
     """BM25 over weighted fields, terms joined by OR, the best k documents of every query.
 
-    One pass turns documents into (doc, term) rows with the field-weighted term count, keeping only
-    terms some query uses; length is the total token count. Query terms join by equality; the
-    document side is never compared with a query it shares no term with.
+    Documents become (doc, term) rows with the field-weighted term count, keeping only terms some
+    query uses; length is the total token count. Query terms join by equality; a document is never
+    compared with a query it shares no term with. A field is known by the token's position, so the
+    explode stays one generated loop.
+
+    Rows are partitioned by document once, so counting terms and adding up scores need no further
+    shuffle: a corpus in fewer splits than cores is spread as it is, a larger one after the filter.
     """
-    def weigh(name: str, col: Column) -> Column:
-        weight = F.lit(FIELD_WEIGHTS.get(name, 1.0)).alias("w")
-        return F.transform(tokens(F.coalesce(col, F.lit(""))), lambda t: F.struct(t.alias("term"), weight))
-
-    weighted = F.flatten(F.array(*[weigh(name, col) for name, col in fields.items()]))
-    rows = docs.select(doc_id, weighted.alias("_t"), *([tie.alias("_tie")] if tie is not None else []))
-    rows = rows.withColumn("_len", F.size("_t"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
-    terms = query_terms(queries, query_id, text)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    few_splits = docs.rdd.getNumPartitions() < cores
+    spread = docs.repartition(cores, doc_id) if few_splits else docs
+    lists = [tokens(F.coalesce(col, F.lit(""))) for col in fields.values()]
     extra = ["_tie"] if tie is not None else []
-    postings = (
-        rows.select(doc_id, "_len", *extra, F.inline("_t"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", doc_id).agg(F.sum("w").alias("tf"), F.first("_len").alias("_len"),
-                                     *[F.first(c).alias(c) for c in extra])
+    tokenised = spread.select(doc_id, *([tie.alias("_tie")] if tie is not None else []),
+                         *[x.alias(f"_t{i}") for i, x in enumerate(lists)])
+    sizes = [F.size(f"_t{i}") for i in range(len(lists))]
+    tokenised = tokenised.withColumns({"_len": sum(sizes[1:], sizes[0]), **{f"_n{i}": n for i, n in enumerate(sizes)}})
+    stats = tokenised.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
+    terms = query_terms(queries, query_id, text)
+    all_tokens = F.concat(*[F.col(f"_t{i}") for i in range(len(lists))])
+    # The outer form keeps Spark from tokenising twice to filter empty texts; their null term joins nothing.
+    rows = tokenised.select(doc_id, "_len", *extra, *[f"_n{i}" for i in range(len(lists))],
+                       F.posexplode_outer(all_tokens).alias("_pos", "term"))
+    weight, end = F.lit(0.0), F.lit(0)
+    bounds = []
+    for i, name in enumerate(fields):
+        end = end + F.col(f"_n{i}")
+        bounds.append((end, FIELD_WEIGHTS.get(name, 1.0)))
+    for bound, w in reversed(bounds):
+        weight = F.when(F.col("_pos") < bound, F.lit(w)).otherwise(weight)
+    small = fits_broadcast(terms)
+    hint = F.broadcast if small else (lambda df: df)
+    matched = rows.select(doc_id, "_len", *extra, "term", weight.alias("w")).join(
+        hint(terms.select("term").distinct()), "term", "left_semi")
+    matched = matched if few_splits else matched.repartition(F.col(doc_id))
+    postings = matched.groupBy("term", doc_id).agg(
+        F.sum("w").alias("tf"), F.first("_len").alias("_len"), *[F.first(c).alias(c) for c in extra])
+    frequency = (
+        tokenised.select(F.explode_outer(F.array_distinct(all_tokens)).alias("term"))
+        .join(hint(terms.select("term").distinct()), "term", "left_semi")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     )
-    # Counted over the columns the score needs too, so both branches read the same shuffle.
-    whole = F.when(F.col("_len").isNotNull(), F.struct("tf", *extra))
-    frequency = postings.groupBy("term").agg(F.count(whole).alias("df"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     weights = terms.join(frequency, "term").select(
         query_id, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / avg_len))
-    scored = postings.join(weights, "term").groupBy(query_id, doc_id).agg(
+    scored = postings.join(hint(weights), "term").groupBy(query_id, doc_id).agg(
         F.round(F.sum(part), 6).alias("score"), *[F.first(c).alias(c) for c in extra])
     best = Window.partitionBy(query_id).orderBy(
         F.col("score").desc(), *[F.col(c).desc() for c in extra], F.col(doc_id).asc())
