@@ -8,6 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Status words and their codes, codes that make a player unavailable, live and final
 # game states, name suffixes.
@@ -66,7 +67,7 @@ def stable_id(value: Column, namespace: str, prefix: str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

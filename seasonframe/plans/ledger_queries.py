@@ -7,12 +7,17 @@ from ..operators import incremental as inc
 from .inputs import money, table
 from .registry import query
 
-K = F.get_json_object("props", "$.k").cast("bigint")
+
+
+def k():
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
 K_SQL = "json_extract(props, '$.k')::BIGINT"
 
 
 def telemetry(spark, d):
-    e = table(spark, d, "events").withColumn("k", K).withColumn("value", money("value"))
+    e = table(spark, d, "events").withColumn("k", k()).withColumn("value", money("value"))
     # Labels arrive as a JSON array text.
     text = F.concat(F.lit('["'), "event_type", F.lit('","'), F.when(F.col("k") > 50, "high").otherwise("low"), F.lit('"]'))
     e = e.withColumn("labels", F.from_json(text, "array<string>"))
@@ -63,7 +68,7 @@ WITH r AS (SELECT event_id, event_type AS provider, epoch_us(ts) AS us, {K_SQL}
 w AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_24h FROM r)
 SELECT event_id, provider, k, used_24h, used_24h >= 3300 AS exhausted FROM w""")
 def quota(spark, d):
-    runs = table(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), K.alias("k"))
+    runs = table(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), k().alias("k"))
     return agg.rolling_quota(runs, "provider", "ts", "k", 3300).drop("ts")
 
 
@@ -90,7 +95,7 @@ SELECT backfill, sum(n_new)::BIGINT AS n_new, sum(n_changed)::BIGINT AS n_change
 FROM r WHERE status <> 'failed' GROUP BY backfill""")
 def backfill(spark, d):
     runs = table(spark, d, "events").select(
-        F.col("user_id").alias("backfill"), F.expr(RUN_STATUS).alias("status"), K.alias("run_key"),
+        F.col("user_id").alias("backfill"), F.expr(RUN_STATUS).alias("status"), k().alias("run_key"),
         F.floor("value").alias("n_new"), (F.col("event_id") % 7).alias("n_changed"),
         F.to_date(F.date_trunc("month", "ts")).alias("pinned_date"))
     return agg.backfill_progress(runs, "backfill")
@@ -110,7 +115,7 @@ UNION ALL SELECT report_id, 'role allowed' FROM d WHERE NOT role
 UNION ALL SELECT report_id, 'no entity twice' FROM d WHERE NOT once
 UNION ALL SELECT report_id, 'id list agrees' FROM d WHERE NOT agree""")
 def contract(spark, d):
-    e = table(spark, d, "events").withColumn("k", K)
+    e = table(spark, d, "events").withColumn("k", k())
     user = F.col("user_id").cast("string")
     entity = lambda p: F.struct(p.alias("player_id"), (F.col("value") / 400).alias("confidence"),
                                 F.col("event_type").alias("basis"), F.col("event_type").alias("role"))
