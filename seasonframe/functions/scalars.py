@@ -41,13 +41,19 @@ def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Half-even rounding of a double at the scaled value, the rule of columnar engines."""
+    scale = float(10 ** digits)
+    return F.rint(value * scale) / scale
+
+
 def ratio(numerator: Column, denominator: Column, scale: float = 1.0, digits: int | None = 3) -> Column:
     """Null-safe ratio: null for a null or zero denominator, rounded half-even as the last step."""
     value = F.when(
         denominator != 0,
         F.try_divide(numerator.cast("double") * F.lit(float(scale)), denominator.cast("double")),
     )
-    return value if digits is None else F.bround(value, digits)
+    return value if digits is None else round_half_even(value, digits)
 
 
 def stable_id(value: Column, namespace: str, prefix: str) -> Column:

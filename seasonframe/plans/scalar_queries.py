@@ -183,11 +183,12 @@ def embed_text(spark, d):
     return table(spark, d, "documents").select("doc_id", S.text_hash(text).alias("hash"))
 
 
-@query("P15_content_hash")
+@query("P15_content_hash", """
+SELECT event_id, sha256('{"a":{"k":' || (json_extract(props, '$.k')) || ',"z":1},"v":' || floor(value)::BIGINT || '}') AS hash, TRUE AS agrees FROM events""")
 def json_hash(spark, d):
     """Hash of each event's payload, spelled in two key orders that must agree."""
     e = table(spark, d, "events")
-    value = F.col("value").cast("string")
+    value = F.floor("value").cast("string")
     one = F.concat(F.lit('{"v": '), value, F.lit(', "a": {"z": 1, "k": '), F.get_json_object("props", "$.k"), F.lit("}}"))
     two = F.concat(F.lit('{"a":{"k":'), F.get_json_object("props", "$.k"), F.lit(',"z":1},  "v":'), value, F.lit("}"))
     a, b = S.content_hash(one), S.content_hash(two)

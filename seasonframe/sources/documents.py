@@ -56,7 +56,7 @@ def parse_frontmatter(docs: DataFrame, text: str) -> ParsedDocs:
 
 
 def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\r\f\v"))
 
 
 def _raw(key: str) -> Column:
