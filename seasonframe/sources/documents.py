@@ -32,10 +32,10 @@ def parse_frontmatter(docs: DataFrame, text: str) -> ParsedDocs:
     entries = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(
         F.trim(F.substring_index(x, ":", 1)).alias("key"),
         F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("value")))
-    # A later line of the same key wins, as in a dictionary.
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    header = F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+    # A later line of the same key wins, as in a dictionary; a fold, so the text is split once.
+    none = F.create_map().cast("map<string,string>")
+    header = F.aggregate(entries, none, lambda m, e: F.map_concat(
+        F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
     out = docs.withColumns({
         "_ok": F.startswith(F.col(text), F.lit("---")) & (F.size(parts) == 3),
         "_wf": well_formed, "header": header,
