@@ -52,6 +52,7 @@ def lenient(spark, d):
     return nz.lenient_cast(raw, {"priority": "bigint", "day": "date", "amount": "double"})
 
 
+# Fixed value: namespace of the stable ids.
 NAMESPACE = "f0cf9ef7-d56d-4a6f-a8e1-197be003c7a8"
 
 
