@@ -54,7 +54,7 @@ def unpivot_ids(df: DataFrame, id_col: str, cols: list[str],
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str,
-                 payload: list[str], bucket: str = "month") -> DataFrame:
+                 payload: list[str], bucket: str = "week") -> DataFrame:
     """Each left row with the nearest right row of its group at or after it; others are dropped.
 
     No range join: both sides meet in one union, ordered in a window per (group, time bucket).

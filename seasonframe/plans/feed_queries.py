@@ -115,12 +115,12 @@ def apply_chunks(spark, d):
 
 @query("T6_dedup_within_ttl", "SELECT event_id, user_id FROM events")
 def dedup_stream(spark, d):
-    """Events delivered twice, in two files read one after the other; each id is claimed once."""
+    """Events delivered twice; each id is claimed once."""
     path = work_dir(spark)
     events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    events.coalesce(1).write.parquet(f"{path}/in")
-    events.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    events.write.parquet(f"{path}/in")
+    events.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
     claimed = feeds.dedup_within_ttl(stream, "event_id", "ts")
     run = (claimed.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
            .trigger(availableNow=True).start(f"{path}/out"))

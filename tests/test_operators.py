@@ -307,3 +307,15 @@ def test_lineup_problems(spark):
     assert got == {
         ("QB", "player used twice"), ("QB", "player not eligible"), ("RB1", "player not eligible"), ("RB2", "player used twice"),
         ("FLEX", "fillable slot left empty"), ("WR", "player not on roster"), ("K", "unknown slot")}
+
+
+def test_bucket_of_counts_bounds(spark):
+    from seasonframe.common import bucket_of
+
+    rng = random.Random(7)
+    values = [rng.uniform(-10, 10) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (0, 1, 2, 7, 16, 100):
+        bounds = sorted(rng.choice(values) for _ in range(n))
+        for v, b in rows(df.select("v", bucket_of(F.col("v"), bounds))):
+            assert b == sum(x <= v for x in bounds)
