@@ -80,9 +80,10 @@ def vector_hits(spark, d, threshold=None):
     # As many entries per label as the vectors have dimensions.
     q = dims.groupBy(F.col("label").alias("query_id")).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
-    model = F.lit("m").alias("model")
-    return rt.vector_search(e.select(F.col("vec_id").alias("doc_id"), "embedding", model), "doc_id", "embedding",
-                            q.select("query_id", "q", model), "query_id", "q", 20, threshold=threshold)
+    # The model of a vector is known by its dimension.
+    model = lambda c: F.concat(F.lit("d"), F.size(c).cast("string")).alias("model")
+    return rt.vector_search(e.select(F.col("vec_id").alias("doc_id"), "embedding", model("embedding")), "doc_id", "embedding",
+                            q.select("query_id", "q", model("q")), "query_id", "q", 20, threshold=threshold)
 
 
 @query("R3_vector_search", f"WITH {CENTROIDS} SELECT * FROM vec")
