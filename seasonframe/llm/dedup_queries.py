@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seasonframe.llm.common import table
 from seasonframe.llm.queries import query
 from seasonframe.llm.simhash import near_duplicates
+from seasonframe.llm.substring import remove_repeats
 from seasonframe.llm.vectors import near_vectors
 
 OP2_SQL = """
@@ -34,3 +36,27 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+x AS (
+  SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS win
+  FROM d, unnest(range(1, len(w) - 11)) AS t(k)),
+o AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY win) < doc_id AS gone FROM x),
+g AS (SELECT DISTINCT doc_id, k + j AS p FROM o, unnest(range(0, 13)) AS t(j) WHERE gone),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (
+  SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.i) AS kept, count(*) AS n_kept
+  FROM k ANTI JOIN g ON k.doc_id = g.doc_id AND k.i = g.p GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, len(d.w) - coalesce(s.n_kept, 0) AS n_removed,
+  sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+@query("op6_substring_dedup", OP6_SQL)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
