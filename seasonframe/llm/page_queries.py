@@ -1,4 +1,4 @@
-"""Archives of pages over the whole table."""
+"""Article text and archives of pages over the whole table."""
 
 from __future__ import annotations
 
@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seasonframe.common import work_dir
 from seasonframe.llm.common import table
+from seasonframe.llm.extraction import extract
 from seasonframe.llm.queries import query
 from seasonframe.llm.warc import read_archives, write_archives
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
