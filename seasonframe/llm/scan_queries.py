@@ -1,4 +1,4 @@
-"""Decontamination and quality scores over all documents."""
+"""Decontamination, quality and language-model scores over all documents."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seasonframe.llm.common import table
 from seasonframe.llm.decontamination import find_leaks
+from seasonframe.llm.language_model import score_documents
 from seasonframe.llm.quality import classify
 from seasonframe.llm.queries import query
 
@@ -46,3 +47,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
