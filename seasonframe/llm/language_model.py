@@ -21,8 +21,9 @@ FOLDS = 10
 # Added to the count of every token and of one unknown token.
 ADDED = 0.1
 
-# Weight of the unigram model in every context, in tokens.
-PRIOR = 8.0
+# Weight of the unigram model in every context, in tokens. Chosen on held-out documents: mean log10 probability per
+# token was -3.98 at 8, -3.79 at 512, -3.83 at 2000 (unigrams alone: -4.29).
+PRIOR = 512.0
 
 # Text of one batch of documents, the unit in which words and word pairs are first counted.
 BATCH_BYTES = 4_000_000
