@@ -1,12 +1,70 @@
-"""Corpus pipeline: stages are added as their operators are built."""
+"""Corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, and the mix of sources.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; all but the last
+return the columns of `docs`. Stages keep no state: what one decides is what the next one reads.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seasonframe.llm.common import table, written
+from seasonframe.llm.decontamination import find_leaks
+from seasonframe.llm.mixing import mix
+from seasonframe.llm.quality import classify
+from seasonframe.llm.simhash import near_duplicates
+from seasonframe.llm.substring import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies: the one with the smallest id. Rows without an id cannot be
+    told apart; they stay when one of them does."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that smaller documents have; untouched texts stay as they are. A document
+    that is left without words stays as a row with an empty text."""
+    found = remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often and where in training each document is read, in training order; documents that the mix does
+    not take come first, with no position."""
+    mixed = mix(docs).withColumn("first_position", F.get("positions", F.lit(0)))
+    return mixed.orderBy("first_position", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_copies),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing sources", source_mix),
+]
 
-STAGES: list = []
+# The classifier is no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; what a stage returns is written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
