@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seasonframe.common import work_dir
 
@@ -35,8 +36,14 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def label() -> str:
-    return uuid.uuid4().hex
+def unused(name: str) -> str:
+    """A column name that no table has, for helper columns beside a user's own."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
+def extended(df: DataFrame, added: str, without: tuple[str, ...] = ()) -> T.StructType:
+    """The schema of a frame, less some columns, with more columns behind."""
+    return T.StructType([f for f in df.schema.fields if f.name not in without] + T.StructType.fromDDL(added).fields)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.common import label, written
+from seasonframe.llm.common import extended, unused, written
 
 # Consecutive words of an item that count as a leak.
 WINDOW = 10
@@ -97,7 +97,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, autom
     if groups == 1:
         return _scanned(base, [(r[0], bytes(r[1])) for r in items.collect()], width)
     # An item longer than the bound still makes a group of its own; groups are dealt by hash of the item.
-    row = f"_row_{label()[:8]}"
+    row = unused("row")
     keyed = written(base.withColumn(row, F.monotonically_increasing_id()))
     out = None
     for g in range(groups * 2):
@@ -116,9 +116,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, autom
 def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], width: int, words: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += f", n_words long, n_hit long, item_ids array<string>, spans {SPANS}, contaminated boolean"
-    schema += ", _words array<int>" if words else ""
+    added = f"n_words long, n_hit long, item_ids array<string>, spans {SPANS}, contaminated boolean"
+    schema = extended(docs, added + (", _words array<int>" if words else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(shared.value, width)

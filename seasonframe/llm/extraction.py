@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seasonframe.llm.common import extended
 from seasonframe.llm.html_blocks import Block, blocks
 from seasonframe.llm.html_examples import example_pages, weak_label
 
@@ -222,7 +223,6 @@ def extract(pages: DataFrame, sample: int = SAMPLE, accept: float = 0.5) -> Data
     """
     base = pages.drop("text", "n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(train(base, sample))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -237,4 +237,4 @@ def extract(pages: DataFrame, sample: int = SAMPLE, accept: float = 0.5) -> Data
                     [*part.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=[*part.schema.names, "text", "n_chars"])
 
-    return base.mapInArrow(run, schema + ", text string, n_chars long")
+    return base.mapInArrow(run, extended(base, "text string, n_chars long"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.common import ByteHasher, mix64, remainder
+from seasonframe.llm.common import ByteHasher, extended, mix64, remainder
 from seasonframe.llm.substring import SLAB_BYTES, word_bounds
 
 # Labelled rows of each class that the model is fitted on: those first in the order of a hash of their ids.
@@ -211,8 +211,6 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, sample:
     base = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(train(base, labels, sample, folds))
     marked = base.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.scores([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
@@ -220,4 +218,4 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, sample:
                 [*batch.columns, pa.array(scores), pa.array((scores >= accept).astype(np.int32))],
                 names=[*batch.schema.names, "score", "predicted"])
 
-    return marked.mapInArrow(run, schema + ", score double, predicted int")
+    return marked.mapInArrow(run, extended(marked, "score double, predicted int"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.cells import grouped, whole_groups
-from seasonframe.llm.common import ByteHasher, mix64, partitions
+from seasonframe.llm.common import ByteHasher, extended, mix64, partitions, unused
 from seasonframe.llm.packing import pack, unpack
 
 # Words of a window, and of the grams among which a window's minimiser is chosen.
@@ -222,21 +222,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     new = ("n_words", "n_removed", "kept_text")
     base = docs.drop(*new)
     buckets = BUCKETS * partitions(docs)
-    tag = F.xxhash64("text")
-    source = base.select(F.col("doc_id").cast("long").alias("_id"), tag.alias("_tag"), "text").where("_id is not null")
+    source = base.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"), "text").where("_id is not null")
     ranges = _repeats(_packed(source, window, gram, buckets), window).groupBy("_id", "_tag").agg(
         F.collect_list("ranges").alias("_ranges"))
-    joined = base.withColumns({"_id": F.col("doc_id").cast("long"), "_tag": tag}).join(ranges, ["_id", "_tag"], "left")
-    return _kept(joined.select(*base.columns, "_ranges"), base.columns)
+    held = unused("ranges")
+    joined = base.join(ranges, (base["doc_id"].cast("long") == ranges["_id"]) & (F.xxhash64(base["text"]) == ranges["_tag"]), "left")
+    return _kept(joined.select(*[base[c] for c in base.columns], ranges["_ranges"].alias(held)), base.columns, held)
 
 
-def _kept(joined: DataFrame, names: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in names)
+def _kept(joined: DataFrame, names: list[str], held: str) -> DataFrame:
+    schema = extended(joined, "n_words long, n_removed long, kept_text string", without=(held,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_ranges").to_pylist()):
+            for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(held).to_pylist()):
                 words = (text or b"").split()
                 counts.append(len(words))
                 if ranges:
@@ -250,4 +250,4 @@ def _kept(joined: DataFrame, names: list[str]) -> DataFrame:
                 [batch.column(c) for c in names] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)],
                 names=[*names, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(run, schema + ", n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(run, schema)
