@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -10,10 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Window buckets used when one group may be too large for a single task.
-MAX_BUCKETS = 512
-
-
 def require_columns(df: DataFrame, *cols: str) -> None:
     """Fail at plan time when a named column is missing."""
     missing = [c for c in cols if c not in df.columns]
@@ -34,73 +30,60 @@ def any_of(conditions: list[Column]) -> Column:
 def work_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables, new for every call.
 
-    It lies in the shared folder the cluster names in spark.checkpoint.dir; only a session that
-    names none, as in tests, gets a folder of its own.
+    It lies in the shared folder the cluster names in spark.checkpoint.dir. A session that names none
+    gets a folder of its own only where driver and executors are one process, as in tests.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if shared:
+        return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def bucket_bounds(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
-    """At most MAX_BUCKETS approximate quantiles of a numeric column.
-
-    The bounds only balance the work; every result that uses them is exact whatever they are.
-    """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(2, min(buckets, MAX_BUCKETS))
-    probs = [i / buckets for i in range(1, buckets)]
-    numbers = df.select(F.col(col).cast("double").alias("_v"))
-    return sorted(set(numbers.approxQuantile("_v", probs, 0.5 / buckets)))
+# Value buckets per doubling of the absolute value: coarse ones are ordered in one window per group (some
+# sixteen thousand at most), fine ones inside their coarse one.
+COARSE, FINE = 8, 1 << 19
 
 
-def bucket_of(col: Column, bounds: list[float]) -> Column:
-    """Number of sorted bounds that are not greater than the value (0 when there are no bounds).
+def value_buckets(value: Column) -> tuple[Column, Column]:
+    """A coarse and a fine bucket number that never fall while the value rises.
 
-    Two short looks instead of one long one: first among every step-th bound, then inside the step.
+    They follow the logarithm of the value, so they need no look at the data; NaN sorts last, as Spark has it.
     """
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    coarse = bounds[step - 1::step]
-    passed = F.size(F.filter(F.lit(coarse), lambda b: b <= col)) * step
-    return passed + F.size(F.filter(F.slice(F.lit(bounds), passed + 1, F.lit(step)), lambda b: b <= col))
+    v = value.cast("double")
+    size = F.least(F.log2(1 + F.abs(v) * (1 << 20)), F.lit(2048.0))
+    place = F.when(F.isnan(v), F.lit(2049.0)).when(v < 0, -size).otherwise(size)
+    return F.floor(place * COARSE), F.floor(place * FINE)
 
 
-def counts_below(df: DataFrame, value: str, by: list[str], desc: bool, bounds: list[float]) -> DataFrame:
+def counts_below(df: DataFrame, value: str, by: list[str], desc: bool) -> DataFrame:
     """One row per (by, value): `n_before` = rows of the group that sort strictly before the value.
 
-    Ties collapse in the map-side count, then value buckets bound every window: the inner window
-    sees one bucket of one group, the outer one sees at most MAX_BUCKETS rows of a group.
+    Ties collapse in the map-side count; then three windows, each over a bounded part of a group: values inside
+    a fine bucket, fine buckets inside a coarse one, coarse buckets. All three read the same counts.
     """
-    per_value = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    per_value = per_value.withColumn("_bucket", bucket_of(F.col(value).cast("double"), bounds))
-
-    def order(c: str) -> Column:
-        return F.col(c).desc() if desc else F.col(c).asc()
-
-    inner = (
-        Window.partitionBy(*by, "_bucket").orderBy(order(value))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    outer = (
-        Window.partitionBy(*by).orderBy(order("_bucket"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        per_value.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
-        .drop("_total")
-    )
-    inside = per_value.withColumn("_inside", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    joined = inside.alias("i").join(
-        offsets.alias("o"),
-        all_of([F.col(f"i.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "_bucket"]]),
-    )
-    return joined.select(
-        *[F.col(f"i.{c}").alias(c) for c in [*by, value]],
-        (F.col("_inside") + F.col("_offset")).alias("n_before"),
-    )
+    coarse, fine = value_buckets(F.col(value))
+    per_value = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_coarse": coarse, "_fine": fine})
+    per_fine = per_value.groupBy(*by, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
+    per_coarse = per_fine.groupBy(*by, "_coarse").agg(F.sum("_n").alias("_n"))
+
+    def before(partition: list[str], order: str) -> Column:
+        key = F.col(order).desc() if desc else F.col(order).asc()
+        window = Window.partitionBy(*by, *partition).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
+        same = all_of([F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys])
+        return left.alias("l").join(right.alias("r"), same).select("l.*", f"r.{name}")
+
+    offsets = joined(
+        per_fine.withColumn("_in_coarse", before(["_coarse"], "_fine")),
+        per_coarse.withColumn("_in_group", before([], "_coarse")), [*by, "_coarse"], "_in_group")
+    offsets = offsets.withColumn("_offset", F.col("_in_coarse") + F.col("_in_group"))
+    placed = joined(per_value.withColumn("_in_fine", before(["_coarse", "_fine"], value)), offsets,
+                    [*by, "_coarse", "_fine"], "_offset")
+    return placed.select(*by, value, (F.col("_in_fine") + F.col("_offset")).alias("n_before"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:

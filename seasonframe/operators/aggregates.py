@@ -245,19 +245,34 @@ def token_cost(calls: DataFrame, by: list[str], rates: Mapping[str, tuple] = TOK
 def rolling_quota(runs: DataFrame, provider: str, ts: str, n: str, budget: int) -> DataFrame:
     """Requests of a provider in the 24 hours before each run (strictly), and whether they exhaust the budget.
 
-    Each run is copied to its own day and to the next one, so the window partition is one provider
-    and one day: a hot provider spreads over the days.
+    What a run finds used is the provider's total before it less the total before the window opened. Both are
+    running sums at points in time: sums inside an hour, and sums over the hours before. No frame moves, so the
+    work grows with the runs however many share a day, and a window holds one hour of a provider, or one row
+    per hour.
     """
-    day_us = 86_400_000_000
-    micros = F.unix_micros(ts)
-    copies = runs.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / day_us))
-    copies = copies.withColumn("_day", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    frame = Window.partitionBy(provider, "_day").orderBy("_us").rangeBetween(-(day_us - 1), -1)
-    out = copies.withColumn("used_24h", F.coalesce(F.sum(n).over(frame), F.lit(0)))
-    return (
-        out.filter("_day = _own").drop("_us", "_own", "_day")
-        .withColumn("exhausted", F.col("used_24h") >= budget)
-    )
+    day_us, hour_us = 86_400_000_000, 3_600_000_000
+    timed = runs.withColumn("_us", F.unix_micros(ts))
+    opened = F.col("_us") - (day_us - 1)
+    points = timed.filter(F.col(ts).isNotNull()).select(
+        provider, F.inline(F.array(
+            F.struct(F.col("_us").alias("_at"), F.col(n).cast("bigint").alias("_n")),
+            F.struct(opened.alias("_at"), F.lit(0).cast("bigint").alias("_n")))))
+    points = points.groupBy(provider, "_at").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).withColumn(
+        "_hour", F.floor(F.col("_at") / hour_us))
+
+    def running(partition: list[str], order: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    hours = points.groupBy(provider, "_hour").agg(F.sum("_n").alias("_n"))
+    hours = hours.select(provider, "_hour", running([provider], "_hour").alias("_earlier"))
+    totals = points.withColumn("_inside", running([provider, "_hour"], "_at")).join(hours, [provider, "_hour"]).select(
+        provider, "_at", (F.col("_inside") + F.col("_earlier")).alias("_before"))
+    used = timed.join(totals.withColumnsRenamed({"_at": "_us", "_before": "_until"}), [provider, "_us"], "left")
+    used = used.withColumn("_from", opened).join(
+        totals.withColumnsRenamed({"_at": "_from", "_before": "_gone"}), [provider, "_from"], "left")
+    return used.withColumn("used_24h", F.coalesce(F.col("_until") - F.col("_gone"), F.lit(0))).withColumn(
+        "exhausted", F.col("used_24h") >= budget).select(*runs.columns, "used_24h", "exhausted")
 
 
 def store_status(reports: DataFrame, chunks: DataFrame) -> DataFrame:

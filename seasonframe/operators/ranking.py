@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import all_of, bucket_bounds, counts_below, numbered
+from ..common import all_of, counts_below, numbered
 from ..functions.formulas import INVALID, ZERO, compile_formula
 from ..functions.scalars import literal_map, ratio, snake_pick
 
@@ -17,13 +17,12 @@ def competition_ranks(df: DataFrame, value: str, ranks: Mapping[str, list[str]],
     """Add ranks 1, 2, 2, 4 of one value under several groupings {name: group columns}; a null sorts as 0.
 
     A rank is one more than the rows that sort before, taken from counts per distinct value, so
-    neither a hot group nor the whole table passes through one window. All groupings share one set
-    of value buckets and start from the same rows.
+    neither a hot group nor the whole table passes through one window. Nothing runs while the plan is
+    built.
     """
     out = keyed = df.withColumn("_v", F.coalesce(F.col(value), F.lit(0)))
-    bounds = bucket_bounds(keyed, "_v")
     for name, by in ranks.items():
-        below = counts_below(keyed, "_v", by, desc, bounds).withColumn(name, F.col("n_before") + 1)
+        below = counts_below(keyed, "_v", by, desc).withColumn(name, F.col("n_before") + 1)
         same = all_of([F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_v"]])
         out = out.alias("l").join(below.alias("r"), same).select("l.*", f"r.{name}")
     return out.drop("_v")
@@ -56,8 +55,8 @@ def rank_by_formula(df: DataFrame, formula: str, allowed: list[str], id_col: str
     """
     if direction not in ("asc", "desc"):
         raise ValueError("direction must be asc or desc")
-    if not 1 <= limit <= 20:
-        raise ValueError("limit must be between 1 and 20")
+    if limit < 1:
+        raise ValueError("limit must be positive")
     compiled = compile_formula(formula, allowed)
     keep = list(dict.fromkeys([*(keep or []), *compiled.fields, *([minimum[0]] if minimum else [])]))
     if minimum and minimum[0] not in allowed:

@@ -16,6 +16,7 @@ STOP_WORDS = [
 ]
 FIELD_WEIGHTS = {"title": 5.0, "content": 1.0, "players": 2.5, "teams": 1.5, "storyline": 1.0}
 K1, B = 1.2, 0.75
+# The constant of rank fusion, and what a judged relation adds to a score.
 RRF_CONSTANT = 60
 RELATION_BONUS = {"direct": 8, "contradictory": 5, "supporting_context": 2, "irrelevant": -40}
 
@@ -57,68 +58,57 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(query_id, F.explode(F.when(F.size(kept) > 0, kept).otherwise(words)).alias("term"))
 
 
-# A query side is broadcast up to this many rows, counted first; beyond it Spark joins by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+# The term of the row that every document has besides its words.
+_DOCUMENT = ""
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when a count that stops early shows the frame is small enough to broadcast."""
-    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+def keyword_lists(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame, query_id: str, text: str,
+                  k: int, lists: dict[str, Column | None], tie: Column | None = None) -> dict[str, DataFrame]:
+    """BM25 over weighted fields, terms joined by OR: for every list the best k of its documents per query.
 
-
-def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame,
-                   query_id: str, text: str, k: int, tie: Column | None = None) -> DataFrame:
-    """BM25 over weighted fields, terms joined by OR, the best k documents of every query.
-
-    Documents become (doc, term) rows with the field-weighted term count, keeping only terms some
-    query uses; length is the total token count. Query terms join by equality; a document is never
-    compared with a query it shares no term with. A field is known by the token's position, so the
-    explode stays one generated loop.
-
-    Rows are partitioned by document once, so counting terms and adding up scores need no further
-    shuffle: a corpus in fewer splits than cores is spread as it is, a larger one after the filter.
+    A list is a condition on documents (None: all of them). Documents are tokenised once for all lists: they
+    become (document, term) rows with the field-weighted term count, keeping terms that some query uses and one
+    row per document that carries its length. A document is one row of one task, so counting is done before
+    the one shuffle of these postings; term frequencies, the number of documents and their mean length are
+    aggregates of the same postings. A document is never compared with a query it shares no term with. Sizes
+    decide about broadcasts and skew at run time; nothing runs while the plan is built.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    few_splits = docs.rdd.getNumPartitions() < cores
-    spread = docs.repartition(cores, doc_id) if few_splits else docs
-    lists = [tokens(F.coalesce(col, F.lit(""))) for col in fields.values()]
-    extra = ["_tie"] if tie is not None else []
-    tokenised = spread.select(doc_id, *([tie.alias("_tie")] if tie is not None else []),
-                         *[x.alias(f"_t{i}") for i, x in enumerate(lists)])
-    sizes = [F.size(f"_t{i}") for i in range(len(lists))]
+    tokenised = docs.select(
+        F.col(doc_id), *([tie.alias("_tie")] if tie is not None else []),
+        *[F.lit(True).alias(f"_in_{n}") if c is None else F.coalesce(c, F.lit(False)).alias(f"_in_{n}") for n, c in lists.items()],
+        *[tokens(F.coalesce(col, F.lit(""))).alias(f"_t{i}") for i, col in enumerate(fields.values())])
+    sizes = [F.size(f"_t{i}") for i in range(len(fields))]
     tokenised = tokenised.withColumns({"_len": sum(sizes[1:], sizes[0]), **{f"_n{i}": n for i, n in enumerate(sizes)}})
-    stats = tokenised.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
-    terms = query_terms(queries, query_id, text)
-    all_tokens = F.concat(*[F.col(f"_t{i}") for i in range(len(lists))])
-    # The outer form keeps Spark from tokenising twice to filter empty texts; their null term joins nothing.
-    rows = tokenised.select(doc_id, "_len", *extra, *[f"_n{i}" for i in range(len(lists))],
-                       F.posexplode_outer(all_tokens).alias("_pos", "term"))
-    weight, end = F.lit(0.0), F.lit(0)
-    bounds = []
+    carried = ["_len", *([] if tie is None else ["_tie"]), *[f"_in_{n}" for n in lists]]
+    # A field is known by the token's position; behind the last token stands the document's own row.
+    every = F.concat(*[F.col(f"_t{i}") for i in range(len(fields))], F.array(F.lit(_DOCUMENT)))
+    rows = tokenised.select(doc_id, *carried, *[f"_n{i}" for i in range(len(fields))], F.posexplode(every).alias("_pos", "term"))
+    weight, end, bounds = F.lit(0.0), F.lit(0), []
     for i, name in enumerate(fields):
         end = end + F.col(f"_n{i}")
         bounds.append((end, FIELD_WEIGHTS.get(name, 1.0)))
     for bound, w in reversed(bounds):
         weight = F.when(F.col("_pos") < bound, F.lit(w)).otherwise(weight)
-    small = fits_broadcast(terms)
-    hint = F.broadcast if small else (lambda df: df)
-    matched = rows.select(doc_id, "_len", *extra, "term", weight.alias("w")).join(
-        hint(terms.select("term").distinct()), "term", "left_semi")
-    matched = matched if few_splits else matched.repartition(F.col(doc_id))
-    postings = matched.groupBy("term", doc_id).agg(
-        F.sum("w").alias("tf"), F.first("_len").alias("_len"), *[F.first(c).alias(c) for c in extra])
-    frequency = (
-        tokenised.select(F.explode_outer(F.array_distinct(all_tokens)).alias("term"))
-        .join(hint(terms.select("term").distinct()), "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
+    terms = query_terms(queries, query_id, text)
+    used = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(_DOCUMENT).alias("term"))).distinct()
+    postings = rows.select(doc_id, *carried, "term", weight.alias("w")).join(used, "term", "left_semi").groupBy("term", doc_id).agg(
+        F.sum("w").alias("tf"), *[F.max(c).alias(c) for c in carried])
+    return {name: _best(postings.filter(f"_in_{name}"), terms, doc_id, query_id, k, tie is not None) for name in lists}
+
+
+def _best(postings: DataFrame, terms: DataFrame, doc_id: str, query_id: str, k: int, tied: bool) -> DataFrame:
+    documents = postings.filter(F.col("term") == _DOCUMENT)
+    stats = documents.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
+    words = postings.filter(F.col("term") != _DOCUMENT)
+    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(frequency, "term").select(
         query_id, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / avg_len))
-    scored = postings.join(hint(weights), "term").groupBy(query_id, doc_id).agg(
-        F.round(F.sum(part), 6).alias("score"), *[F.first(c).alias(c) for c in extra])
+    extra = ["_tie"] if tied else []
+    scored = words.join(weights, "term").groupBy(query_id, doc_id).agg(
+        F.round(F.sum(part), 6).alias("score"), *[F.max(c).alias(c) for c in extra])
     best = Window.partitionBy(query_id).orderBy(
         F.col("score").desc(), *[F.col(c).desc() for c in extra], F.col(doc_id).asc())
     return (
@@ -127,6 +117,12 @@ def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], quer
     )
 
 
+def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame,
+                   query_id: str, text: str, k: int, tie: Column | None = None) -> DataFrame:
+    """The one list of `keyword_lists` over all documents."""
+    return keyword_lists(docs, doc_id, fields, queries, query_id, text, k, {"all": None}, tie)["all"]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two float arrays in double."""
     products = F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double"))
@@ -143,8 +139,8 @@ def vector_search(docs: DataFrame, doc_id: str, vector: str, queries: DataFrame,
     are; for larger query sets it shuffles, and adaptive skew splitting spreads a single model over
     many tasks. Norms are taken once per row, and each task keeps its own best k.
     """
-    if not 1 <= k <= 100:
-        raise ValueError("k must be between 1 and 100")
+    if k < 1:
+        raise ValueError("k must be positive")
     left = docs.select(doc_id, model, F.col(vector).alias("_d"), *([tie] if tie else []),
                        F.sqrt(dot(F.col(vector), F.col(vector))).alias("_dn"))
     right = queries.select(query_id, model, F.col(query_vector).alias("_q"),
@@ -192,14 +188,15 @@ def rrf(rankings: dict[str, DataFrame], query_id: str, doc_id: str, published: D
 
 def recent_docs(links: DataFrame, entity: str, doc_id: str, published: str, n: int,
                 keep: list[str]) -> DataFrame:
-    """Newest n documents of every entity, ties by id; n at most 10."""
-    if not 1 <= n <= 10:
-        raise ValueError("n must be between 1 and 10")
+    """Newest n documents of every entity, ties by id."""
+    if n < 1:
+        raise ValueError("n must be positive")
     order = Window.partitionBy(entity).orderBy(F.col(published).desc(), F.col(doc_id).asc())
     return links.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select(
         entity, doc_id, published, *keep, "place")
 
 
+# Roles of a mention, in order.
 MENTION_ROLES = ["primary_subject", "secondary_subject", "mentioned"]
 
 

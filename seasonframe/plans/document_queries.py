@@ -53,11 +53,16 @@ def bm25(name: str, source: str, k: int) -> str:
 ENGLISH = "english AS (SELECT * FROM docs WHERE lang = 'en' AND is_active)"
 
 
-def hits(spark, d, k, english=False):
-    x = docs(spark, d)
-    x = x.filter("lang = 'en' AND is_active") if english else x
+def hit_lists(spark, d, k, *names):
+    """Keyword hits among all documents and among active English ones, from one pass over the documents."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return rt.keyword_search(x, "doc_id", {"title": F.col("source"), "content": F.col("text")}, q, "query_id", "q", k)
+    lists = {"all": None, "english": (F.col("lang") == "en") & F.col("is_active")}
+    return rt.keyword_lists(docs(spark, d), "doc_id", {"title": F.col("source"), "content": F.col("text")}, q, "query_id", "q", k,
+                            {n: lists[n] for n in names})
+
+
+def hits(spark, d, k):
+    return hit_lists(spark, d, k, "all")["all"]
 
 
 @query("R2_keyword_search", f"WITH {DOCS}, {bm25('a', 'docs', 10)} SELECT * FROM a")
@@ -104,8 +109,7 @@ SELECT query_id, doc_id, score, all_rank, english_rank, row_number() OVER (PARTI
 FROM f JOIN docs USING (doc_id) QUALIFY rank <= 5""")
 def fusion(spark, d):
     n = rt.pool_size(5)
-    lists = {"all": hits(spark, d, n), "english": hits(spark, d, n, english=True)}
-    return rt.rrf(lists, "query_id", "doc_id", docs(spark, d), 5)
+    return rt.rrf(hit_lists(spark, d, n, "all", "english"), "query_id", "doc_id", docs(spark, d), 5)
 
 
 @query("R5_recent_docs", """
@@ -141,7 +145,8 @@ o AS (SELECT query_id, doc_id, max(score) AS score, string_agg(DISTINCT branch::
    min((CASE WHEN rank = 1 THEN 0 ELSE 1 END, CASE WHEN rank = 1 THEN branch ELSE -1 END, CASE WHEN rank = 1 THEN 0 ELSE -score END, branch, rank)) AS key FROM u GROUP BY query_id, doc_id)
 SELECT query_id, doc_id, score, branches, row_number() OVER (PARTITION BY query_id ORDER BY key) AS place FROM o QUALIFY place <= 10""")
 def branches(spark, d):
-    u = hits(spark, d, 8).withColumn("branch", F.lit(0)).unionByName(hits(spark, d, 8, True).withColumn("branch", F.lit(1)))
+    lists = hit_lists(spark, d, 8, "all", "english")
+    u = lists["all"].withColumn("branch", F.lit(0)).unionByName(lists["english"].withColumn("branch", F.lit(1)))
     return rt.merge_branches(u, "query_id", "branch", "doc_id", "score", 10).withColumn("branches", F.array_join("branches", ","))
 
 
@@ -245,8 +250,9 @@ SELECT query_id, EXISTS (SELECT 1 FROM a JOIN b b2 USING (query_id, doc_id) WHER
 def hit_rate(spark, d):
     from ..operators.aggregates import hit_at_k
 
-    cases = hits(spark, d, 2, True).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
-    return hit_at_k(hits(spark, d, 10), cases, 3)
+    lists = hit_lists(spark, d, 10, "all", "english")
+    cases = lists["english"].filter("rank <= 2").groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
+    return hit_at_k(lists["all"], cases, 3)
 
 
 @query("R16_needs_embedding", f"""
