@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import unicodedata
 import uuid
 
 import pandas as pd
@@ -31,9 +32,13 @@ LOCKED_STATES = ["in progress", "in_progress", "live", "complete", "completed",
 NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 TAIL_PATTERN = r"(?i)\s*view fantasy impact\s*»?\s*$"
 
-# Latin letters with accents and their plain form, for name keys.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Latin letters whose compatibility decomposition is one plain letter and marks, and that letter: Latin-1,
+# Latin Extended-A and -B, and Latin Extended Additional.
+_FOLDED = {
+    chr(c): plain for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if len(plain := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) == 1
+}
+_ACCENTED, _PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 
 def literal_map(mapping: dict) -> Column:
@@ -106,7 +111,7 @@ def collapse_space(col: Column) -> Column:
 
 
 def fold_ascii(col: Column) -> Column:
-    """Plain Latin letters for accented ones; other non-ASCII characters dropped."""
+    """Plain Latin letters for accented ones; other non-ASCII characters, combining marks too, dropped."""
     return F.regexp_replace(F.translate(col, _ACCENTED, _PLAIN), r"[^\x00-\x7f]", "")
 
 

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import assert_unique  # noqa: F401  part of this module's interface
 from ..functions.formulas import compile_formula
 from ..functions.scalars import literal_map, ratio
 from .joins import mirror_opponent
@@ -91,20 +92,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
-def assert_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The same rows; reading them fails when a key repeats.
-
-    The check is one aggregate on the keys: no second read, and no shuffle when the frame is
-    already partitioned by them.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
-    message = F.concat(F.lit(f"{name}: repeated key "), F.to_json(F.struct(*keys)))
-    checked = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
-    return grouped.filter(checked).select(*keys, "_row.*").select(df.columns)
-
-
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """One row per rule: rows that break it (a null outcome counts as broken) and rows checked."""
     counted = df.agg(
@@ -139,6 +126,8 @@ def threshold_analysis(facts: DataFrame, participation: DataFrame, entity: list[
     keys = [*entity, period]
     fields = compile_formula(formula, allowed).fields
     f = facts.select(*keys, F.struct(*attributes).alias("_f"), *fields, F.lit(True).alias("_fact"))
+    # On the basis of stat rows nothing of the participation counts: neither its weeks nor its attributes.
+    participation = participation.filter(F.lit(basis != "stat_row"))
     p = participation.select(*keys, F.struct(*attributes).alias("_p"), (F.col("status") == "ACT").alias("_act"),
                              F.lit(True).alias("_roster"))
     weeks = (

@@ -110,17 +110,21 @@ def apply_documents(store: ReportStore, batch: ReportStore) -> ReportStore:
 
 
 def state_changes(snapshots: DataFrame, entity: list[str], at: str, fields: list[str],
-                  bucket: str = "day") -> DataFrame:
+                  bucket: str = "day", tie: list[str] | None = None) -> DataFrame:
     """Rows whose fields differ from the entity's previous snapshot.
 
+    Snapshots of one time are ordered by the `tie` columns and then by the fields themselves, so
+    the result does not depend on how rows arrive.
+
     The look-back is split by time bucket: inside a bucket by `lag`, and for the first row of a
     bucket from the last row of the entity's previous bucket. A hot entity spreads over buckets.
     """
     state = F.struct(*fields)
     rows = snapshots.withColumn("_b", F.date_trunc(bucket, F.col(at).cast("timestamp"))).withColumn("_s", state)
-    inside = Window.partitionBy(*entity, "_b").orderBy(at)
+    order = [F.col(c) for c in (at, *(tie or []), "_s")]
+    inside = Window.partitionBy(*entity, "_b").orderBy(*order)
     rows = rows.withColumn("_prev", F.lag("_s").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    last = rows.groupBy(*entity, "_b").agg(F.max_by("_s", F.col(at)).alias("_last"))
+    last = rows.groupBy(*entity, "_b").agg(F.max_by("_s", F.struct(*order)).alias("_last"))
     across = Window.partitionBy(*entity).orderBy("_b")
     before = last.select(*entity, "_b", F.lag("_last").over(across).alias("_before"))
     joined = rows.join(before, [*entity, "_b"])

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import all_of, first_by
+from ..common import all_of, assert_unique, first_by
 from ..functions import scalars as S
 
 
@@ -104,15 +104,24 @@ def pregame_snapshot(snapshots: DataFrame, games: DataFrame, entity: str, snapsh
                      game_t: str, period: list[str]) -> DataFrame:
     """Rows of the newest snapshot taken on or before each entity's game day.
 
-    A frame that already carries a period passes through without duplicates.
+    Rows that carry their period already, by value and not by column name, pass through without
+    duplicates; the others are mapped to the period of the next game.
     """
-    if set(period) <= set(snapshots.columns):
-        return snapshots.distinct()
+    columns = [*[c for c in snapshots.columns if c not in period], *period]
+    given = [c for c in period if c in snapshots.columns]
+    if len(given) == len(period):
+        known = all_of([F.col(c).isNotNull() for c in period])
+        passed = snapshots.filter(known).select(*columns).distinct()
+        snapshots = snapshots.filter(~known)
+    else:
+        passed = None
+    snapshots = snapshots.drop(*given)
     times = snapshots.select(entity, snapshot_t).distinct().withColumn("_day", F.to_date(snapshot_t))
     mapped = asof_forward(times, games.select(entity, game_t, *period).distinct(),
                           [entity], "_day", game_t, period)
     newest = mapped.groupBy(entity, *period).agg(F.max(snapshot_t).alias(snapshot_t))
-    return snapshots.join(newest, [entity, snapshot_t]).distinct()
+    mapped = snapshots.join(newest, [entity, snapshot_t]).select(*columns).distinct()
+    return mapped if passed is None else passed.unionByName(mapped)
 
 
 def latest_per_group(df: DataFrame, by: list[str], ts: str) -> DataFrame:
@@ -143,14 +152,18 @@ def missing_pages(df: DataFrame, config: DataFrame, by: list[str]) -> DataFrame:
     return config.join(df, by, "left_anti")
 
 
-def both_sides(games: DataFrame, home: str, away: str, entity: str = "team") -> DataFrame:
-    """One row per entity and game, with the opponent and which side it was."""
+def both_sides(games: DataFrame, home: str, away: str, entity: str = "team", period: list[str] | None = None) -> DataFrame:
+    """One row per entity and game, with the opponent and which side it was.
+
+    With a period, reading the result fails when an entity has two games in one period.
+    """
     sides = F.array(
         F.struct(F.lit("home").alias("side"), F.col(home).alias(entity), F.col(away).alias("opponent")),
         F.struct(F.lit("away").alias("side"), F.col(away).alias(entity), F.col(home).alias("opponent")),
     )
     rest = [c for c in games.columns if c not in (home, away)]
-    return games.select(*rest, F.inline(sides)).distinct()
+    out = games.select(*rest, F.inline(sides)).distinct()
+    return assert_unique(out, [entity, *period], "more than one game in a period") if period else out
 
 
 def mirror_opponent(df: DataFrame, entity: str, opponent: str, cols: list[str]) -> DataFrame:

@@ -15,6 +15,8 @@ FLEX_ELIGIBILITY = {
     "SUPER_FLEX": ["QB", "RB", "WR", "TE"],
     "IDP_FLEX": ["DL", "LB", "DB"],
 }
+# From the narrowest to the widest; a roster that is solved has at most one of the first two.
+FLEX_LEVELS = ["REC_FLEX", "WRRB_FLEX", "FLEX", "SUPER_FLEX", "IDP_FLEX"]
 CORE_POSITIONS = ["QB", "RB", "WR", "TE"]
 
 
@@ -89,22 +91,20 @@ def eligible_slots(position: Column) -> Column:
     return F.filter(F.array(position, *flex), lambda x: x.isNotNull())
 
 
-NESTED_LEVELS = ["base", "FLEX", "SUPER_FLEX"]
-
-
 def best_lineup(players: DataFrame, slots: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Best legal lineup of every roster at once: most slots filled, then most points.
 
     players: by, player_id, position, points, usable (bool), locked_slot (null when free).
     slots: by, slot_type, n_slots (one row per roster and type).
-    Slot types nest (base position within FLEX within SUPER_FLEX) and a player has one position, so
-    one top-n pass per level is exact. Locked starters keep their slot and use it up. Rosters with
-    both REC_FLEX and WRRB_FLEX overlap without nesting; they are returned apart, not solved.
+    Slot types nest (base position within REC_FLEX or WRRB_FLEX within FLEX within SUPER_FLEX, and
+    base position within IDP_FLEX) and a player has one position, so one top-n pass per level is
+    exact. Locked starters keep their slot and use it up. Only REC_FLEX beside WRRB_FLEX overlaps
+    without nesting; rosters with both are returned apart, not solved.
     A roster is a small group by nature; every window is one roster or one of its positions.
     """
     overlapping = (
         slots.filter(F.col("slot_type").isin("REC_FLEX", "WRRB_FLEX") & (F.col("n_slots") > 0))
-        .select(*by).distinct()
+        .groupBy(*by).agg(F.count_distinct("slot_type").alias("_kinds")).filter("_kinds = 2").drop("_kinds")
     )
     candidates = players.join(overlapping, by, "left_anti")
     locked = candidates.filter(F.col("locked_slot").isNotNull()).withColumn("slot_type", F.col("locked_slot"))
@@ -128,7 +128,7 @@ def best_lineup(players: DataFrame, slots: DataFrame, by: list[str]) -> tuple[Da
 
     rows = free.withColumn("slot_type", F.lit(None).cast("string"))
     rows = place(rows, F.col("position"), F.lit(True), ["position"])
-    for flex in ("FLEX", "SUPER_FLEX"):
+    for flex in FLEX_LEVELS:
         rows = place(rows, F.lit(flex), F.col("position").isin(FLEX_ELIGIBILITY[flex]), [])
     keep = [*by, "player_id", "position", "slot_type", "points"]
     lineup = rows.filter(~left_over).select(*keep).unionByName(locked.select(*keep))

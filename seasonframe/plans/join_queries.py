@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as jn
 from ..operators import sets
+from ..operators.normalize import normalize_by_schema
 from .inputs import FACTS, GROUPED, MATCHES, SNAPSHOTS, facts, matches, money, snapshots, table, with_group
 from .registry import query
 
@@ -77,17 +78,22 @@ def asof(spark, d):
 
 @query("J5_pregame_snapshot", f"""
 WITH {SNAPSHOTS}, {FACTS},
-games AS (SELECT DISTINCT entity AS player, make_date(2024, 1, day(day)::INT) AS game_day, week FROM facts WHERE season = 1998),
+games AS (SELECT DISTINCT entity AS player, make_date(2024, 1, day(day)::INT) AS game_day, week FROM facts),
 g AS (SELECT player, game_day, min(week) AS week FROM games GROUP BY player, game_day),
-m AS (SELECT s.player, s.day, g.game_day, g.week FROM (SELECT DISTINCT player, day FROM snapshots) s
+m AS (SELECT s.player, s.day, g.game_day, g.week FROM (SELECT DISTINCT player, day FROM snapshots WHERE player % 10 <> 0) s
       ASOF JOIN g ON s.player = g.player AND g.game_day >= s.day),
 newest AS (SELECT player, week, game_day, max(day) AS day FROM m GROUP BY player, week, game_day)
-SELECT player, day, week, game_day, total::DOUBLE AS total, grp FROM snapshots JOIN newest USING (player, day)""")
+SELECT player, day, week, game_day, total::DOUBLE AS total, grp FROM snapshots JOIN newest USING (player, day)
+UNION ALL SELECT player, day, 1, day, total::DOUBLE, grp FROM snapshots WHERE player % 10 = 0""")
 def pregame(spark, d):
-    games = facts(spark, d).filter("season = 1998").select(
+    games = facts(spark, d).select(
         F.col("entity").alias("player"), F.make_date(F.lit(2024), F.lit(1), F.dayofmonth("day")).alias("game_day"), "week")
     games = games.groupBy("player", "game_day").agg(F.min("week").alias("week"))
-    snaps = snapshots(spark, d).select("player", "day", "total", "grp")
+    # The schema of normalised feeds: period columns are always there, filled for weekly feeds only.
+    weekly = F.col("player") % 10 == 0
+    fixed = lambda df: df.select(
+        "player", "day", F.when(weekly, F.lit(1).cast("bigint")).alias("week"), F.when(weekly, F.col("day")).alias("game_day"), "total", "grp")
+    snaps = normalize_by_schema(snapshots(spark, d), [("daily", {"player", "day", "total", "grp"}, fixed)])
     games = games.withColumn("game_key", F.col("game_day"))
     out = jn.pregame_snapshot(snaps, games.withColumnRenamed("game_key", "at"), "player", "day", "at", ["week", "game_day"])
     return out

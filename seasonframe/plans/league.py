@@ -93,7 +93,7 @@ def rank_players_by_formula(t: League, season: int, formula: str, season_type: s
     rows = t.seasons
     for c in _where(season=season, season_type=season_type, position=position):
         rows = rows.filter(c)
-    r = rk.rank_by_formula(rows, formula, P.PLAYER_FORMULA_FIELDS, "player_id", minimum, direction, limit, ["position", "last_team", "games"])
+    r = rk.rank_by_formula(rows, formula, P.PLAYER_FORMULA_FIELDS, "player_id", minimum, direction, _limited(limit), ["position", "last_team", "games"])
     names = t.players.select("player_id", "display_name")
     return rk.FormulaRanking(r.results.join(names, "player_id", "left"), r.zero_denominator.join(names, "player_id", "left"), r.counts)
 
@@ -113,7 +113,7 @@ def rank_teams_by_formula(t: League, season: int, perspective: str, formula: str
     allowed = ["games", "points_scored", *names] if perspective == "offense" else [
         "games", "points_allowed", *[f"{s}_allowed" for s in names]]
     minimum = ("games", minimum_games) if minimum_games is not None else None
-    return rk.rank_by_formula(rows, formula, allowed, "team", minimum, direction, limit, ["games"])
+    return rk.rank_by_formula(rows, formula, allowed, "team", minimum, direction, _limited(limit), ["games"])
 
 
 def rank_players_by_weekly_threshold(t: League, season: int, formula: str, fields: list[str], comparison: str, threshold: float,
@@ -125,20 +125,29 @@ def rank_players_by_weekly_threshold(t: League, season: int, formula: str, field
     return rk.leaderboard(rows, rank_by, "player_id", "desc", [F.col("denominator_games") >= minimum_games], limit)
 
 
-def _snapshot(t: League, season: int, scoring: str, league: str, as_of: str | None) -> DataFrame:
-    rows = t.ranks.filter((F.col("season") == season) & (F.col("scoring_format") == scoring) & (F.col("league_format") == league))
+def _snapshot(t: League, season: int, scoring: str, league: str, as_of: str | None, snapshot_type: str) -> DataFrame:
+    """The newest snapshot of one type; historical and current snapshots never mix."""
+    rows = t.ranks.filter((F.col("season") == season) & (F.col("scoring_format") == scoring) & (F.col("league_format") == league)
+                          & (F.col("snapshot_type") == snapshot_type))
     day = F.lit(as_of).cast("date") if as_of else F.lit("9999-12-31").cast("date")
     newest = jn.asof_snapshot(rows, ["season", "scoring_format", "league_format"], "scrape_date", day)
     return rk.snapshot_ranks(newest, "overall_rank", "position", "best_rank", "worst_rank")
 
 
-def get_player_ecr(t: League, player_id: str, season: int, scoring: str, league: str, as_of: str | None = None) -> DataFrame:
-    return _snapshot(t, season, scoring, league, as_of).filter(F.col("player_id") == player_id)
+def _limited(limit: int) -> int:
+    if not 1 <= limit <= 20:
+        raise ValueError("limit must be between 1 and 20")
+    return limit
+
+
+def get_player_ecr(t: League, player_id: str, season: int, scoring: str, league: str, as_of: str | None = None,
+                   snapshot_type: str = "current") -> DataFrame:
+    return _snapshot(t, season, scoring, league, as_of, snapshot_type).filter(F.col("player_id") == player_id)
 
 
 def rank_players_by_ecr(t: League, season: int, scoring: str, league: str, sort_by: str, direction: str = "asc",
                         positions: list[str] | None = None, low: float | None = None, high: float | None = None,
-                        as_of: str | None = None, limit: int = 20) -> DataFrame:
+                        as_of: str | None = None, limit: int = 20, snapshot_type: str = "current") -> DataFrame:
     filters = []
     if positions:
         filters.append(F.col("position").isin(positions))
@@ -146,7 +155,7 @@ def rank_players_by_ecr(t: League, season: int, scoring: str, league: str, sort_
         filters.append(F.col("overall_rank") >= low)
     if high is not None:
         filters.append(F.col("overall_rank") <= high)
-    return rk.leaderboard(_snapshot(t, season, scoring, league, as_of), sort_by, "player_id", direction, filters, limit)
+    return rk.leaderboard(_snapshot(t, season, scoring, league, as_of, snapshot_type), sort_by, "player_id", direction, filters, _limited(limit))
 
 
 def fantasy_value(scoring: str) -> Column:
@@ -161,10 +170,10 @@ def fantasy_value(scoring: str) -> Column:
 
 def compare_ecr_to_results(t: League, season: int, scoring: str, league: str, basis: str, sort_by: str, direction: str = "desc",
                            min_games: int | None = None, rank_range: tuple = (None, None), as_of: str | None = None,
-                           limit: int = 20) -> DataFrame:
-    ranks = _snapshot(t, season, scoring, league, as_of).filter(F.col("position").isin(P.COMPARED_POSITIONS)).select(
+                           limit: int = 20, snapshot_type: str = "current") -> DataFrame:
+    ranks = _snapshot(t, season, scoring, league, as_of, snapshot_type).filter(F.col("position").isin(P.COMPARED_POSITIONS)).select(
         "player_id", "position", "overall_rank", "position_rank")
     results = t.seasons.filter((F.col("season") == season) & (F.col("season_type") == "REG")
                                & F.col("position").isin(P.COMPARED_POSITIONS)).withColumn("value", fantasy_value(scoring))
     compared = rk.expected_vs_actual(ranks, results, "player_id", "position", "overall_rank", "position_rank", "value", "games")
-    return rk.outperformers(compared, "player_id", basis, "overall_rank", "position_rank", min_games, rank_range, sort_by, direction, limit)
+    return rk.outperformers(compared, "player_id", basis, "overall_rank", "position_rank", min_games, rank_range, sort_by, direction, _limited(limit))

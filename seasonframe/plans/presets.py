@@ -33,8 +33,13 @@ PLAYER_RATIOS = {
 
 PLAYER_FORMULA_FIELDS = ["games", *PLAYER_ADDITIVE, *EPA_TOTALS, *PLAYER_RATIOS, "passing_cpoe"]
 
-# Code aliases, and relocations with their first season.
-TEAM_ALIASES = {"AZ": "ARI"}
+# Code aliases.
+TEAM_ALIASES = {"AZ": "ARI", "LAR": "LA"}
+
+# Relocated teams with their current code and its first season.
+FRANCHISE_RELOCATIONS = {"OAK": ("LV", 2020), "SD": ("LAC", 2017), "STL": ("LA", 2016)}
+
+# Columns that hold team codes.
 TEAM_CODE_COLUMNS = [
     "team_abbr", "team", "opponent", "opponent_team", "away_team", "home_team", "latest_team", "draft_team",
     "last_team",

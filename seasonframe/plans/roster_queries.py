@@ -18,7 +18,7 @@ SLOT_LIST = ["QB", "RB", "RB", "WR", "WR", "TE", "FLEX"]
 
 _POSITION_SQL = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in POSITION.items()) + " END"
 PLAYERS = FACTS + f""", proj AS (
-  SELECT entity, round(sum(points) FILTER (WHERE season = 1998) / 1000, 2)::DOUBLE AS points,
+  SELECT entity, round(sum(points) / 1000, 2)::DOUBLE AS points,
          arg_max(status, (day, game)) AS status, min(day) FILTER (WHERE day >= DATE '1998-06-01') AS next_day
   FROM facts GROUP BY entity),
 players AS (
@@ -33,7 +33,7 @@ def players(spark, d):
     f = facts(spark, d)
     last = F.struct("day", "game")
     proj = f.groupBy(F.col("entity").alias("player_id")).agg(
-        F.round(F.sum(F.when(F.col("season") == 1998, F.col("points"))) / 1000, 2).cast("double").alias("points"),
+        F.round(F.sum("points") / 1000, 2).cast("double").alias("points"),
         F.max_by("status", last).alias("status"),
         F.min(F.when(F.col("day") >= F.lit("1998-06-01").cast("date"), F.col("day"))).alias("next_day"))
     c = table(spark, d, "customer").select(
@@ -48,13 +48,13 @@ def players(spark, d):
 
 @query("A12_open_slots", f"""
 WITH {PLAYERS}, h AS (SELECT roster, count(*) FILTER (WHERE position = 'QB') AS q, count(*) FILTER (WHERE position = 'RB') AS r,
-  count(*) FILTER (WHERE position = 'WR') AS w, count(*) FILTER (WHERE position = 'TE') AS t FROM players WHERE place <= 7 GROUP BY roster),
+  count(*) FILTER (WHERE position = 'WR') AS w, count(*) FILTER (WHERE position = 'TE') AS t FROM players GROUP BY roster),
 e AS (SELECT *, greatest(0, q - 1) AS xq, greatest(0, r - 2) + greatest(0, w - 2) + greatest(0, t - 1) AS xf FROM h),
 f AS (SELECT *, least(1, xf) AS flex FROM e)
 SELECT roster, q AS "have_QB", r AS "have_RB", w AS "have_WR", t AS "have_TE", greatest(0, 1 - q) AS "open_QB", greatest(0, 2 - r) AS "open_RB",
   greatest(0, 2 - w) AS "open_WR", greatest(0, 1 - t) AS "open_TE", 1 - flex AS "open_FLEX", 1 - least(1, xf + xq - flex) AS "open_SUPER_FLEX" FROM f""")
 def open_slots(spark, d):
-    return ro.open_slots(players(spark, d).filter("place <= 7"), ["roster"], "position", NEED)
+    return ro.open_slots(players(spark, d), ["roster"], "position", NEED)
 
 
 TX = """moves AS (SELECT l_orderkey AS transaction_id, CASE WHEN l_returnflag = 'R' THEN 'drop' ELSE 'add' END AS action,
@@ -110,20 +110,22 @@ def groups(spark, d):
 
 
 @query("A15_lineup_totals", f"""
-WITH {PLAYERS} SELECT roster, round_even(sum(points::DECIMAL(18,2))::DOUBLE, 2) AS current_total, count(points) AS current_total_projected,
-  count(*) AS current_total_starters FROM players WHERE place <= 7 GROUP BY roster""")
+WITH {PLAYERS}, g AS (SELECT *, CASE WHEN place <= 7 THEN 'starter' ELSE 'bench' END AS roster_group FROM players)
+SELECT roster, roster_group, round_even(sum(points::DECIMAL(18,2))::DOUBLE, 2) AS current_total, count(points) AS current_total_projected,
+  count(*) AS current_total_starters FROM g GROUP BY roster, roster_group""")
 def totals(spark, d):
-    starters = players(spark, d).filter("place <= 7").withColumn("points", F.col("points").cast(MONEY))
-    return ro.lineup_totals(starters, ["roster"], "points", "current_total")
+    grouped = players(spark, d).withColumns({
+        "points": F.col("points").cast(MONEY), "roster_group": F.when(F.col("place") <= 7, "starter").otherwise("bench")})
+    return ro.lineup_totals(grouped, ["roster", "roster_group"], "points", "current_total")
 
 
 @query("W11_numbered_slots", f"""
-WITH {PLAYERS}, s AS (SELECT roster, place, {SLOT_LIST}[place] AS slot_type FROM players WHERE place <= 7)
+WITH {PLAYERS}, s AS (SELECT roster, place, {SLOT_LIST}[(place - 1) % 7 + 1] AS slot_type FROM players)
 SELECT roster, place::BIGINT AS place, slot_type, CASE WHEN count(*) OVER (PARTITION BY roster, slot_type) > 1
   THEN slot_type || row_number() OVER (PARTITION BY roster, slot_type ORDER BY place) ELSE slot_type END AS slot_id FROM s""")
 def slots(spark, d):
-    s = players(spark, d).filter("place <= 7").select(
-        "roster", "place", F.element_at(F.lit(SLOT_LIST), F.col("place").cast("int")).alias("slot_type"))
+    s = players(spark, d).select(
+        "roster", "place", F.element_at(F.lit(SLOT_LIST), ((F.col("place") - 1) % 7 + 1).cast("int")).alias("slot_type"))
     return rk.numbered_slots(s, ["roster"], "slot_type", ["place"])
 
 

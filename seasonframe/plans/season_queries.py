@@ -216,7 +216,11 @@ def threshold_active(spark, d):
     return threshold(spark, d, "qty - returned", "lt", 40, "active_roster")
 
 
-@query("A6_threshold_stat_row", "WITH " + THRESHOLD + _TAIL.format(
+# Only stat rows: no roster says who took part, which position or which team.
+_STAT_ROWS = THRESHOLD.replace("FROM wf FULL JOIN part USING", "FROM wf LEFT JOIN (SELECT * FROM part WHERE FALSE) AS part USING")
+
+
+@query("A6_threshold_stat_row", "WITH " + _STAT_ROWS + _TAIL.format(
     inside="has_fact", value="a::DOUBLE", hit="v > 20"))
 def threshold_stat(spark, d):
     return threshold(spark, d, "returned", "gt", 20, "stat_row")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import first_by
+from ..common import assert_unique, first_by, last_by
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -72,11 +72,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Incoming rows replace stored rows of the same key; new keys are added.
 
-    An anti-join keeps the untouched rows, so a stored row moves once and nothing is sorted.
+    Of incoming rows that repeat a key the last by `order` stays; without an order a repeat is an error
+    when the result is read. An anti-join keeps the untouched rows, so a stored row moves once.
     """
+    incoming = last_by(incoming, keys, order) if order else assert_unique(incoming, keys, "upsert")
     kept = existing.join(incoming.select(*keys), keys, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 

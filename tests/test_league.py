@@ -29,9 +29,10 @@ def tables(spark):
     games = spark.createDataFrame([("k1", 2024, 1, date(2024, 9, 5), "KC", "LV", 27, 20)],
                                   "game_id string, season int, week int, gameday date, home_team string, away_team string, home_score int, away_score int")
     ranks = spark.createDataFrame(
-        [(p, pos, 2024, date(2024, 8, d), "ppr", "redraft_1qb", r, b, w) for p, pos, d, r, b, w in (
-            ("p1", "QB", 1, 9.0, 1, 3), ("p1", "QB", 20, 2.0, 1, 9), ("p2", "WR", 20, 1.0, 1, None), ("p3", "WR", 20, 3.5, 2, 4))],
-        "player_id string, position string, season int, scrape_date date, scoring_format string, league_format string, overall_rank double, best_rank int, worst_rank int")
+        [(p, pos, 2024, date(2024, 8, d), "ppr", "redraft_1qb", kind, r, b, w) for kind, p, pos, d, r, b, w in (
+            ("final_preseason", "p1", "QB", 25, 7.0, 1, 3), ("current", "p1", "QB", 1, 9.0, 1, 3), ("current", "p1", "QB", 20, 2.0, 1, 9),
+            ("current", "p2", "WR", 20, 1.0, 1, None), ("current", "p3", "WR", 20, 3.5, 2, 4))],
+        "player_id string, position string, season int, scrape_date date, scoring_format string, league_format string, snapshot_type string, overall_rank double, best_rank int, worst_rank int")
     rosters = spark.createDataFrame(
         [("p1", "KC", 2024, w, "REG", "QB", "ACT" if w < 4 else "RES") for w in (1, 2, 3, 4)],
         "player_id string, team string, season int, week int, game_type string, position string, status string")
@@ -62,6 +63,9 @@ def test_expert_ranks(tables):
     one = lg.get_player_ecr(tables, "p1", 2024, "ppr", "redraft_1qb").first()
     assert (one["overall_rank"], one["position_rank"], one["rank_range"]) == (2.0, 1, 8)
     assert lg.get_player_ecr(tables, "p1", 2024, "ppr", "redraft_1qb", "2024-08-10").first()["overall_rank"] == 9.0
+    old = lg.get_player_ecr(tables, "p1", 2024, "ppr", "redraft_1qb", snapshot_type="final_preseason").first()
+    assert old["overall_rank"] == 7.0
+    assert lg.get_player_ecr(tables, "p1", 2024, "ppr", "redraft_1qb", "2024-08-31").first()["overall_rank"] == 2.0
     top = lg.rank_players_by_ecr(tables, 2024, "ppr", "redraft_1qb", "rank_range", "desc").orderBy("place").collect()
     assert [x["player_id"] for x in top] == ["p1", "p3", "p2"]
     c = {x["player_id"]: x for x in lg.compare_ecr_to_results(tables, 2024, "ppr", "redraft_1qb", "overall", "rank_difference").collect()}

@@ -376,3 +376,98 @@ def test_rolling_quota_at_the_edges_of_the_day(spark):
             assert used == sum(m or 0 for q, u, m in data if q == p and us - day < u < us)
 
 
+
+
+def test_pregame_snapshot_by_values_not_names(spark):
+    snaps = spark.createDataFrame(
+        [("a", "2024-01-01", None, "x"), ("a", "2024-01-03", None, "y"), ("a", "2024-01-09", None, "late"), ("b", "2024-01-02", 7, "given"), ("b", "2024-01-02", 7, "given")],
+        "p string, d string, week int, v string").withColumn("d", F.to_date("d"))
+    games = spark.createDataFrame([("a", "2024-01-04", 1), ("b", "2024-01-05", 1)], "p string, d string, week int").select(
+        "p", F.to_date("d").alias("at"), "week")
+    assert sorted(rows(jn.pregame_snapshot(snaps, games, "p", "d", "at", ["week"]).select("p", "week", "v"))) == [("a", 1, "y"), ("b", 7, "given")]
+    bare = snaps.filter("week IS NULL").drop("week")
+    assert rows(jn.pregame_snapshot(bare, games, "p", "d", "at", ["week"]).select("p", "week", "v")) == [("a", 1, "y")]
+
+
+def test_two_games_in_a_week_fail(spark):
+    games = spark.createDataFrame([(1, 1, "A", "B"), (2, 1, "C", "D"), (3, 2, "A", "C")], "g int, week int, home string, away string")
+    assert jn.both_sides(games, "home", "away", period=["week"]).count() == 6
+    twice = games.union(spark.createDataFrame([(4, 1, "B", "E")], games.schema))
+    with pytest.raises(Exception, match="more than one game"):
+        jn.both_sides(twice, "home", "away", period=["week"]).collect()
+
+
+def test_lineups_of_every_slot_set_against_search(spark):
+    rng = random.Random(5)
+    positions = ["QB", "RB", "WR", "TE", "LB", "DB"]
+    people, slot_rows = [], []
+    for r in range(40):
+        for k in range(rng.randrange(1, 7)):
+            people.append((r, f"{r}-{k}", rng.choice(positions), float(rng.randrange(1, 30)), True, None))
+        for kind in [*positions, "REC_FLEX", "WRRB_FLEX", "FLEX", "SUPER_FLEX", "IDP_FLEX"]:
+            if rng.random() < 0.3:
+                slot_rows.append((r, kind, rng.randrange(1, 3)))
+    players = spark.createDataFrame(people, "r int, player_id string, position string, points double, usable boolean, locked_slot string")
+    slots = spark.createDataFrame(slot_rows, "r int, slot_type string, n_slots int")
+    lineup, apart = ro.best_lineup(players, slots, ["r"])
+    both = {r for r, k, _ in slot_rows if k == "REC_FLEX"} & {r for r, k, _ in slot_rows if k == "WRRB_FLEX"}
+    assert {x["r"] for x in apart.collect()} == both
+    got = {}
+    for x in lineup.collect():
+        n, total = got.get(x["r"], (0, 0.0))
+        assert x["slot_type"] == x["position"] or x["position"] in ro.FLEX_ELIGIBILITY[x["slot_type"]]
+        got[x["r"]] = (n + 1, total + x["points"])
+    for r in range(40):
+        if r in both:
+            assert r not in got
+            continue
+        open_slots = [k for q, k, n in slot_rows if q == r for _ in range(n)]
+        mine = [(p, v) for q, _, p, v, _, _ in people if q == r]
+
+        def best(i, free):
+            if i == len(mine):
+                return (0, 0.0)
+            out = best(i + 1, free)
+            for k in set(free):
+                if k == mine[i][0] or mine[i][0] in ro.FLEX_ELIGIBILITY.get(k, ()):
+                    rest = list(free)
+                    rest.remove(k)
+                    n, v = best(i + 1, tuple(rest))
+                    out = max(out, (n + 1, v + mine[i][1]))
+            return out
+
+        assert got.get(r, (0, 0.0)) == best(0, tuple(open_slots))
+
+
+def test_relocated_teams_and_folded_names(spark):
+    from seasonframe.functions.scalars import name_key
+    from seasonframe.plans.presets import FRANCHISE_RELOCATIONS
+
+    teams = spark.createDataFrame([("OAK", "Oakland Raiders", "Raiders"), ("LV", "Las Vegas Raiders", "Raiders"), ("SD", "San Diego Chargers", "Chargers")],
+                                  "code string, name string, nickname string")
+    refs = spark.createDataFrame([(1, "Raiders"), (2, "Oakland Raiders"), (3, "oak"), (4, "Chargers")], "ref_id int, text string")
+    now = {x["ref_id"]: x["code"] for x in nm.resolve_alias(refs, teams, relocations=FRANCHISE_RELOCATIONS)[0].collect()}
+    assert now == {1: "LV", 2: "LV", 3: "LV", 4: "LAC"}
+    then = {x["ref_id"]: (x["status"], x["code"]) for x in nm.resolve_alias(refs, teams, relocations=FRANCHISE_RELOCATIONS, season=2010)[0].collect()}
+    assert then[1] == ("ambiguous", None) and then[2] == ("resolved", "OAK") and then[4] == ("resolved", "SD")
+    names = spark.createDataFrame([("Luka Dončić",), ("Žan Ó Sé",), ("été",)], "n string")
+    assert rows(names.select(name_key(F.col("n"), "ascii"))) == [("luka doncic",), ("zan o se",), ("ete",)]
+
+
+def test_upsert_with_repeats(spark):
+    from seasonframe.sources.tables import upsert
+
+    old = spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "k int, v string")
+    with pytest.raises(Exception, match="upsert"):
+        upsert(old, new, ["k"]).collect()
+    assert sorted(rows(upsert(old, new, ["k"], [F.col("v")]))) == [(1, "b"), (2, "old"), (3, "c")]
+
+
+def test_state_changes_of_equal_times_do_not_depend_on_row_order(spark):
+    data = [("a", 1, "x"), ("a", 1, "z"), ("a", 1, "y"), ("a", 2, "z")]
+    seen = set()
+    for order in (data, data[::-1]):
+        df = spark.createDataFrame(order, "e string, t int, s string").withColumn("at", F.timestamp_seconds("t"))
+        seen.add(tuple(sorted(rows(inc.state_changes(df, ["e"], "at", ["s"]).select("s", "previous_s")))))
+    assert seen == {(("y", "x"), ("z", "y"))}
