@@ -26,6 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a table into the shared folder in buckets of a key, one per shuffle partition: joins on the key
+    read it where it lies, without a shuffle of their own."""
+    name = unused("bucketed").strip("_")
+    df.write.bucketBy(partitions(df), key).sortBy(key).option("path", f"{work_dir(df.sparkSession)}/t").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

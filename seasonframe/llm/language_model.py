@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.cells import whole_groups
-from seasonframe.llm.common import ByteHasher, mix64, partitions, remainder, written
+from seasonframe.llm.common import ByteHasher, bucketed, mix64, partitions, remainder, written
 from seasonframe.llm.elias_fano import Trie
 from seasonframe.llm.packing import pack, unpack
 
@@ -65,34 +65,33 @@ def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
-    """Kind 0: documents in batches, as numbers into a vocabulary of the batch."""
+    """Documents in batches, as numbers into a vocabulary of the batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids = batch.column("doc_id").fill_null(0).to_numpy()
             flags = (np.array(batch.column("doc_id").is_null().to_pylist()) * 2 + np.array(batch.column("train").to_pylist())).astype(np.uint8)
-            s, total = 0, 0
+            s, total, out = 0, 0, []
             for e in range(1, len(texts) + 1):
                 total += len(texts[e - 1])
                 if total >= batch_bytes or e == len(texts):
                     tokens, lengths, words = _encoded(texts[s:e])
-                    # Bytes of like weight side by side: the high ones are nearly all zero.
-                    planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T
-                    blob = pack(np.ascontiguousarray(planes[0]), np.ascontiguousarray(planes[1]), np.ascontiguousarray(planes[2]),
-                                np.ascontiguousarray(planes[3]), lengths.astype("<u4"), words, ids[s:e], flags[s:e])
-                    yield _row([number], 0, [-1], [blob])
+                    blob = pack(tokens.astype("<u4"), lengths.astype("<u4"), words, ids[s:e], flags[s:e])
+                    out.append((number, blob))
                     s, total, number = e, 0, number + 1
+            for n, blob in out:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(run, "batch long, blob binary")
 
 
 class _Batch:
     """A batch read back, with the ids and counts of its words once they are known."""
 
     def __init__(self, blob: bytes, shards: int) -> None:
-        *planes, lengths, self.words, self.ids, self.flags = unpack(blob)
-        self.tokens = np.stack(planes, axis=1).view("<u4").ravel().astype(np.int64)
+        tokens, lengths, self.words, self.ids, self.flags = unpack(blob)
+        self.tokens = tokens.astype(np.int64)
         self.lengths = lengths.astype(np.int64)
         data = np.frombuffer(self.words, dtype=np.uint8)
         self.stops = np.flatnonzero(data == 32)
@@ -174,23 +173,23 @@ def _word_answers(words: DataFrame, shards: int) -> DataFrame:
     return words.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(run, _ROWS)
 
 
-def _joined(*frames: DataFrame) -> DataFrame:
-    """Everything about a batch side by side: the batch first, then what shards answered."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.repartition("batch").sortWithinPartitions("batch", "kind", "shard")
+def _joined(stored: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Every batch with what the shards answered it, a list per kind. The batches lie in buckets already; only
+    the answers travel."""
+    out = stored
+    for n, f in enumerate(answers, 1):
+        out = out.join(f.groupBy("batch").agg(F.collect_list(F.struct("shard", "blob")).alias(f"answers{n}")), "batch")
+    return out
 
 
 def _read(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[int, _Batch, dict[int, bytes]]]:
-    """Batches that know their words, with the answers about their pairs by shard."""
-    for table, starts in whole_groups(batches, ["batch"]):
-        for s, e in zip(starts, starts[1:]):
-            part = table.slice(s, e - s)
-            kinds, names, blobs = (part.column(c).to_pylist() for c in ("kind", "shard", "blob"))
-            b = _Batch(blobs[0], shards)
-            b.know({n: blob for k, n, blob in zip(kinds, names, blobs) if k == 1})
-            yield part.column("batch")[0].as_py(), b, {n: blob for k, n, blob in zip(kinds, names, blobs) if k == 2}
+    """Batches that know their words, with the answers about their pairs, if any, by shard."""
+    for rows in batches:
+        for k in range(rows.num_rows):
+            row = rows.slice(k, 1).to_pylist()[0]
+            b = _Batch(row["blob"], shards)
+            b.know({a["shard"]: a["blob"] for a in row["answers1"]})
+            yield row["batch"], b, {a["shard"]: a["blob"] for a in row.get("answers2", ())}
 
 
 def _pair_rows(rows: DataFrame, shards: int) -> DataFrame:
@@ -297,7 +296,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, prior: float = PRIOR, a
     shards = partitions(docs)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                          F.coalesce(remainder(F.col("doc_id"), folds) != 0, F.lit(False)).alias("train"))
-    stored = written(_batches(marked, batch_bytes))
+    stored = bucketed(_batches(marked, batch_bytes), "batch")
     answers = written(_word_answers(_word_rows(stored, shards), shards))
     totals = [unpack(bytes(r["blob"]))[0] for r in answers.where("kind = 9").select("blob").collect()]
     total, different = (int(sum(t[k] for t in totals)) for k in (0, 1))
