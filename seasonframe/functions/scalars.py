@@ -87,8 +87,8 @@ def clean_html_text(col: Column, tail_pattern: str | None = TAIL_PATTERN) -> Col
     """Text of an HTML fragment: tags out, entities decoded, white space collapsed, tail removed.
 
     The raw text inside script and style elements stays as it is, so those elements are split off
-    first and their `<` and `&` hidden while the rest is stripped. The Python step runs only on
-    values that still hold an entity.
+    first and their `<` and `&` hidden while the rest is stripped. The Python step gets only values
+    that still hold an entity, and nulls for the others.
     """
     pieces = F.split(col, r"(?i)(?=<(?:script|style)\b)|(?<=</script>)|(?<=</style>)")
 
@@ -98,7 +98,8 @@ def clean_html_text(col: Column, tail_pattern: str | None = TAIL_PATTERN) -> Col
         return F.when(piece.rlike(r"(?i)^<(?:script|style)\b"), F.translate(raw, "<&", "\u0001\u0002")).otherwise(plain)
 
     no_tags = F.array_join(F.transform(pieces, strip), "")
-    decoded = F.when(no_tags.contains("&"), _unescape(no_tags)).otherwise(no_tags)
+    # The condition stands inside the call: outside it, Spark would still send every text to Python.
+    decoded = F.coalesce(_unescape(F.when(no_tags.contains("&"), no_tags)), no_tags)
     text = collapse_space(F.translate(decoded, "\u0001\u0002", "<&"))
     if tail_pattern:
         text = F.trim(F.regexp_replace(text, tail_pattern, ""))

@@ -63,6 +63,10 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_t: str,
     spread over its buckets. Right rows tied on time: the smallest payload wins.
     """
     cut = lambda c: F.date_trunc(bucket, F.col(c).cast("timestamp"))
+    # One right row per group and time before anything is sorted: the smallest payload.
+    smallest = F.struct(*payload) if len(payload) > 1 else F.col(payload[0])
+    one = right.filter(F.col(right_t).isNotNull()).groupBy(*by, right_t).agg(F.min(smallest).alias("_least"))
+    right = one.select(*by, right_t, *([F.col("_least").alias(payload[0])] if len(payload) == 1 else ["_least.*"]))
     nearest = F.struct(F.col(right_t).alias("_t"), *payload)
     empty = F.lit(None).cast(right.select(nearest.alias("r")).schema["r"].dataType)
     left_cols = F.struct(*left.columns)
@@ -314,10 +318,12 @@ def with_fallback(primary: DataFrame, secondary: DataFrame, by: list[str], seaso
 def link_names(docs: DataFrame, doc_id: str, names_col: str, entities: DataFrame,
                entity_id: str, name_col: str) -> DataFrame:
     """Distinct sorted entity ids per document by case-insensitive name equality."""
-    mentions = docs.select(doc_id, F.explode(F.transform(names_col, F.lower)).alias("_name"))
-    linked = mentions.join(
-        entities.select(F.lower(name_col).alias("_name"), entity_id), "_name").select(doc_id, entity_id).distinct()
-    return linked.groupBy(doc_id).agg(F.array_sort(F.collect_list(entity_id)).alias("entity_ids"))
+    mentions = docs.select(doc_id, F.explode(F.array_distinct(F.transform(names_col, F.lower))).alias("_name")).distinct()
+    # Namesakes are gathered per name first: a mention meets one row of its name, not every bearer.
+    named = entities.filter(F.col(name_col).isNotNull()).groupBy(F.lower(name_col).alias("_name")).agg(
+        F.collect_set(entity_id).alias("_ids"))
+    return mentions.join(named, "_name").groupBy(doc_id).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("entity_ids"))
 
 
 def new_by_url(docs: DataFrame, existing: DataFrame, url: str = "url") -> DataFrame:

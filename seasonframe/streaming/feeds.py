@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,18 +21,33 @@ def _table(path: str, batch_id: int) -> str:
     return f"{path}/v={batch_id:012d}"
 
 
+def _versions(spark: SparkSession, path: str) -> dict[int, object]:
+    """The finished versions of a table, from its folder names; no data is read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {}
+    found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("v=")]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return {int(p.getName()[2:]): p for p in found if files.exists(done(p, "_SUCCESS"))}
+
+
 def _read_before(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame | None:
-    """Newest table version below the batch, so a retried batch finds its own input again."""
-    try:
-        versions = spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    """Newest table version below the batch, so a retried batch finds its own input again.
+
+    While batch n runs, batch n - 1 is done for good and only n can be retried; versions below n - 1 are
+    dropped, so storage holds two versions however many batches come.
+    """
+    versions = _versions(spark, path)
+    usable = [v for v in versions if batch_id is None or v < batch_id]
+    if not usable:
+        return None
+    newest = max(usable)
     if batch_id is not None:
-        versions = versions.filter(F.col("v") < batch_id)
-    newest = versions.agg(F.max("v")).first()[0]
-    return None if newest is None else versions.filter(F.col("v") == newest).drop("v")
+        for v in usable:
+            if v < newest:
+                versions[v].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(versions[v], True)
+    return spark.read.parquet(_table(path, newest))
 
 
 def classify_stream(stream: DataFrame, state_path: str, out_path: str, checkpoint: str, id_col: str,
@@ -88,12 +102,14 @@ def state_change_stream(stream: DataFrame, state_path: str, out_path: str, check
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         previous = _read_before(spark, state_path, batch_id)
-        rows = batch.select(*columns)
-        history = rows if previous is None else rows.unionByName(previous)
-        changes = inc.state_changes(history, entity, at, fields, bucket)
+        history = batch.select(*columns, F.lit(False).alias("_stored"))
+        if previous is not None:
+            history = history.unionByName(previous.withColumn("_stored", F.lit(True)))
+        # A stored row was reported when it came; a late older row before it does not make it news again.
+        changes = inc.state_changes(history, entity, at, fields, bucket).filter("not _stored").drop("_stored")
         changes.write.mode("overwrite").parquet(_table(out_path, batch_id))
-        keep = [c for c in columns if c not in entity]
-        last = history.groupBy(*entity).agg(F.max_by(F.struct(*keep), F.col(at)).alias("_r")).select(*entity, "_r.*")
+        state = F.struct(at, *fields)
+        last = history.groupBy(*entity).agg(F.max(state).alias("_r")).select(*entity, "_r.*")
         last.write.mode("overwrite").parquet(_table(state_path, batch_id))
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
