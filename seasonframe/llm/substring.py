@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.cells import grouped, whole_groups
-from seasonframe.llm.common import ByteHasher, extended, mix64, partitions, unused
+from seasonframe.llm.cells import whole_groups
+from seasonframe.llm.common import ByteHasher, extended, mix64, partitions, texts_of, unused
 from seasonframe.llm.packing import pack, unpack
 
 # Words of a window, and of the grams among which a window's minimiser is chosen.
 WINDOW = 13
-GRAM = 3
+GRAM = 2
 
 # Text that one task cuts into super-k-mers at a time, and bytes hashed at a time (some 30 times that in memory).
 CHUNK_BYTES = 8_000_000
 SLAB_BYTES = 2_000_000
 
-# Buckets per shuffle partition.
-BUCKETS = 4
+# Buckets per shuffle partition of the session; each bucket is a partition of its own.
+BUCKETS = 2
 
 
 def _slabs(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -77,11 +77,11 @@ def super_kmers(lines: list[bytes], window: int, gram: int) -> Iterator[tuple[in
             yield m, n, w, text[a:b]
 
 
-def _chunks(texts: list[bytes | None], limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
+def _chunks(texts: Iterable[bytes], limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
     """Rows with words and their words joined by one space, about `limit` bytes at a time."""
     rows, lines, total = [], [], 0
     for i, text in enumerate(texts):
-        line = b" ".join((text or b"").split())
+        line = b" ".join(text.split())
         if line:
             rows.append(i)
             lines.append(line)
@@ -98,7 +98,7 @@ def _packed(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column("_id").to_numpy(), batch.column("_tag").to_numpy()
-            for rows, lines in _chunks(batch.column("text").cast(pa.binary()).to_pylist(), CHUNK_BYTES):
+            for rows, lines in _chunks(texts_of(batch), CHUNK_BYTES):
                 places: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(dict)
                 for minimiser, line, word, words in super_kmers(lines, window, gram):
                     places[minimiser].setdefault(words, []).append((line, word))
@@ -120,7 +120,7 @@ def _packed(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
                     out_bucket.append(bucket)
                     out_blob.append(pack(
                         b"\n".join(strings), np.array(counts, dtype=np.int32), line.astype(np.int32), np.ascontiguousarray(word),
-                        ids[rows_at[used]], tags[rows_at[used]]))
+                        ids[rows_at[used]], tags[rows_at[used]], level=6))
                 if out_blob:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
@@ -168,7 +168,7 @@ def window_owners(strings: list[bytes], smallest: np.ndarray, window: int) -> tu
     return out, np.append(0, np.cumsum(counts))
 
 
-def _repeats(packed: DataFrame, window: int) -> DataFrame:
+def _repeats(packed: DataFrame, window: int, buckets: int) -> DataFrame:
     """(_id, _tag, ranges): word ranges of a document covered by windows that a smaller document has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["bucket"]):
@@ -202,7 +202,7 @@ def _repeats(packed: DataFrame, window: int) -> DataFrame:
                          pa.array([np.array(r, dtype=np.int32).tobytes() for r in found.values()], pa.binary())],
                         names=["_id", "_tag", "ranges"])
 
-    return grouped(packed, "bucket").mapInArrow(run, "_id long, _tag long, ranges binary")
+    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, "_id long, _tag long, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     base = docs.drop(*new)
     buckets = BUCKETS * partitions(docs)
     source = base.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"), "text").where("_id is not null")
-    ranges = _repeats(_packed(source, window, gram, buckets), window).groupBy("_id", "_tag").agg(
+    ranges = _repeats(_packed(source, window, gram, buckets), window, buckets).groupBy("_id", "_tag").agg(
         F.collect_list("ranges").alias("_ranges"))
     held = unused("ranges")
     joined = base.join(ranges, (base["doc_id"].cast("long") == ranges["_id"]) & (F.xxhash64(base["text"]) == ranges["_tag"]), "left")
@@ -236,8 +236,8 @@ def _kept(joined: DataFrame, names: list[str], held: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(held).to_pylist()):
-                words = (text or b"").split()
+            for text, ranges in zip(texts_of(batch), batch.column(held).to_pylist()):
+                words = text.split()
                 counts.append(len(words))
                 if ranges:
                     bounds = np.frombuffer(b"".join(ranges), dtype=np.int32).reshape(-1, 2)
