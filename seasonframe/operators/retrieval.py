@@ -22,23 +22,33 @@ RELATION_BONUS = {"direct": 8, "contradictory": 5, "supporting_context": 2, "irr
 
 
 def filter_docs(docs: DataFrame, *, any_ids: list[str] | None = None, any_teams: list[str] | None = None,
+                any_names: list[str] | None = None, name_part: str | None = None,
                 source: str | None = None, season: int | None = None, kind: str | None = None,
                 storyline: str | None = None, after=None, before=None, start=None, end=None) -> DataFrame:
     """Active documents that meet every given filter; an absent or empty filter does nothing.
 
-    after and before are open bounds on the publish date, start and end closed ones.
+    Ids and seasons compare exactly, every text without regard to case. `any_names` wants one of the names
+    among the document's players, `name_part` a player whose name contains it. after and before are open
+    bounds on the publish date, start and end closed ones.
     """
+    lower = lambda c: F.transform(c, lambda x: F.lower(x))
     day = F.to_date("published_at")
     tests = [F.col("is_active")]
     if any_ids:
         tests.append(F.arrays_overlap("player_ids", F.lit(list(any_ids))))
     if any_teams:
-        tests.append(F.arrays_overlap("teams", F.lit(list(any_teams))))
+        tests.append(F.arrays_overlap(lower("teams"), F.lit([t.lower() for t in any_teams])))
+    if any_names:
+        tests.append(F.arrays_overlap(lower("players"), F.lit([n.lower() for n in any_names])))
+    if name_part:
+        tests.append(F.exists("players", lambda p: F.lower(p).contains(name_part.lower())))
     if source:
         tests.append(F.lower("source").contains(source.lower()))
-    for name, value in (("season", season), ("document_type", kind), ("storyline", storyline)):
-        if value is not None:
-            tests.append(F.col(name) == value)
+    if season is not None:
+        tests.append(F.col("season") == season)
+    for name, value in (("document_type", kind), ("storyline", storyline)):
+        if value:
+            tests.append(F.lower(name) == value.lower())
     for bound, test in ((after, lambda b: day > b), (before, lambda b: day < b),
                         (start, lambda b: day >= b), (end, lambda b: day <= b)):
         if bound is not None:

@@ -135,21 +135,30 @@ def best_lineup(players: DataFrame, slots: DataFrame, by: list[str]) -> tuple[Da
     return lineup, overlapping
 
 
-def kickoff_slates(players: DataFrame, by: list[str], kickoff: str, as_of: Column, lead_minutes: int) -> DataFrame:
+def kickoff_slates(players: DataFrame, by: list[str], kickoff: str, as_of: Column, lead_minutes: int,
+                   listed: tuple[str, str, str] | None = None) -> DataFrame:
     """Per roster and exact kickoff after `as_of`: starters and bench to review, order, and whether due.
 
-    The players of a slate stay rows of the input; a slate row counts them.
+    `listed` = (slot, name, id) adds `players`, the ids of a slate: starters first, then by slot and name. A
+    slate is part of one roster, so the list is short.
     """
     if lead_minutes < 1:
         raise ValueError("lead_minutes must be positive")
     open_rows = players.filter(F.col("roster_group").isin("starter", "bench") & (F.col(kickoff) > as_of))
+    extra = []
+    if listed:
+        slot, name, player = listed
+        place = F.struct((F.col("roster_group") != "starter").alias("late"), F.coalesce(slot, F.lit("")).alias("slot"),
+                         F.col(name).alias("name"), F.col(player).alias("id"))
+        extra = [F.transform(F.array_sort(F.collect_list(place)), lambda x: x["id"]).alias("players")]
     slates = open_rows.groupBy(*by, kickoff).agg(
+        *extra,
         F.count_if(F.col("roster_group") == "starter").alias("n_starters"),
         F.count_if(F.col("roster_group") == "bench").alias("n_bench"))
     next_kickoff = slates.groupBy(*by).agg(F.min(kickoff).alias("_next"))
     opens = F.col(kickoff) - F.expr(f"interval {int(lead_minutes)} minutes")
     return slates.join(next_kickoff, by).select(
-        *by, kickoff, "n_starters", "n_bench", (F.col(kickoff) == F.col("_next")).alias("is_next"),
+        *by, kickoff, *(["players"] if listed else []), "n_starters", "n_bench", (F.col(kickoff) == F.col("_next")).alias("is_next"),
         ((opens <= as_of) & (as_of < F.col(kickoff))).alias("is_due"))
 
 

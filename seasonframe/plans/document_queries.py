@@ -28,6 +28,15 @@ def filtered(spark, d):
                           start="2024-01-05", end="2024-01-19").select("doc_id")
 
 
+@query("R1_filter_docs_by_name", f"""
+WITH {DOCS} SELECT doc_id FROM docs WHERE is_active AND lang IN ('en', 'fr') AND (source LIKE '%c1%' OR lang LIKE '%c1%')
+  AND lower(lang) IN ('en', 'de') AND source = 'src1'""")
+def filtered_by_name(spark, d):
+    x = docs(spark, d).withColumns({
+        "players": F.array("lang", "source"), "teams": F.array("lang"), "storyline": F.col("source"), "document_type": F.col("source")})
+    return rt.filter_docs(x, any_names=["EN", "Fr"], name_part="C1", any_teams=["En", "DE"], kind="SRC1", storyline="Src1").select("doc_id")
+
+
 _STOP = ", ".join(f"'{w}'" for w in rt.STOP_WORDS)
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 

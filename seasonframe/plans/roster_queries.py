@@ -161,14 +161,17 @@ def best(spark, d):
 
 @query("W14_kickoff_slates", f"""
 WITH {PLAYERS}, s AS (SELECT roster, next_day::TIMESTAMP + to_hours(17) AS kickoff, count(*) FILTER (WHERE place <= 7) AS n_starters,
-  count(*) FILTER (WHERE place > 7) AS n_bench FROM players WHERE next_day::TIMESTAMP + to_hours(17) > TIMESTAMP '1998-06-03 12:00:00' GROUP BY ALL)
-SELECT roster, kickoff, n_starters, n_bench, kickoff = min(kickoff) OVER (PARTITION BY roster) AS is_next,
+  count(*) FILTER (WHERE place > 7) AS n_bench,
+  string_agg(player_id::VARCHAR, ',' ORDER BY place > 7, CASE WHEN place <= 7 THEN position ELSE '' END, player_id) AS players FROM players WHERE next_day::TIMESTAMP + to_hours(17) > TIMESTAMP '1998-06-03 12:00:00' GROUP BY ALL)
+SELECT roster, kickoff, players, n_starters, n_bench, kickoff = min(kickoff) OVER (PARTITION BY roster) AS is_next,
   kickoff - to_minutes(7500) <= TIMESTAMP '1998-06-03 12:00:00' AS is_due FROM s""")
 def slates(spark, d):
     p = players(spark, d).select(
         "roster", "player_id", F.when(F.col("place") <= 7, "starter").otherwise("bench").alias("roster_group"),
+        F.when(F.col("place") <= 7, F.col("position")).alias("slot"),
         (F.col("next_day").cast("timestamp") + F.expr("interval 17 hours")).alias("kickoff"))
-    return ro.kickoff_slates(p, ["roster"], "kickoff", F.lit("1998-06-03 12:00:00").cast("timestamp"), 7500)
+    slates = ro.kickoff_slates(p, ["roster"], "kickoff", F.lit("1998-06-03 12:00:00").cast("timestamp"), 7500, ("slot", "player_id", "player_id"))
+    return slates.withColumn("players", F.array_join("players", ","))
 
 
 SLOTTED = LINEUP + """, proposed AS (SELECT roster, slot_type || '#' || row_number() OVER (PARTITION BY roster, slot_type ORDER BY player_id) AS slot_id, player_id FROM lineup),

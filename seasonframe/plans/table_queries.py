@@ -81,13 +81,13 @@ def replace(spark, d):
 
 
 @query("S6_profile", """
-SELECT 'nation' AS "table", (SELECT count(*) FROM nation) AS n_rows, 3::BIGINT AS n_columns, 'n_nationkey,n_name,n_regionkey' AS columns, 0::BIGINT AS n_dropped
+SELECT 'nation' AS "table", (SELECT count(*) FROM nation) AS n_rows, 3::BIGINT AS n_columns, 'n_nationkey,n_name,n_regionkey' AS columns, 0::BIGINT AS n_dropped, TIMESTAMP '2024-01-31 06:00:00' AS processed_at
 UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 6, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority',
-  (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""")
+  (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)), TIMESTAMP '2024-01-31 06:00:00'""")
 def profile(spark, d):
     o = table(spark, d, "orders")
     gone = o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-    return st.profile({"nation": table(spark, d, "nation"), "orders": o}, {"orders": gone})
+    return st.profile({"nation": table(spark, d, "nation"), "orders": o}, {"orders": gone}, F.lit("2024-01-31 06:00:00").cast("timestamp"))
 
 
 @query("S7_append_versions", f"""

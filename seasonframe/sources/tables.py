@@ -93,15 +93,16 @@ def replace_partition(df: DataFrame, path: str, col: str) -> object:
     return row["value"]
 
 
-def profile(frames: Mapping[str, DataFrame], dropped: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """One row per table: rows, columns, column names and dropped rows, each frame read once."""
+def profile(frames: Mapping[str, DataFrame], dropped: Mapping[str, DataFrame] | None = None, at: Column | None = None) -> DataFrame:
+    """One row per table: rows, columns, column names, dropped rows and the time of processing, each frame read once."""
+    at = F.current_timestamp() if at is None else at
     out = None
     for name, df in frames.items():
         gone = (dropped or {}).get(name)
         n_dropped = F.lit(0).cast("bigint") if gone is None else gone.agg(F.count(F.lit(1)).alias("n")).scalar()
         part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-            F.lit(",".join(df.columns)).alias("columns"), n_dropped.alias("n_dropped"))
+            F.lit(",".join(df.columns)).alias("columns"), n_dropped.alias("n_dropped"), at.alias("processed_at"))
         out = part if out is None else out.unionByName(part)
     return out
 
