@@ -117,12 +117,20 @@ def rank_teams_by_formula(t: League, season: int, perspective: str, formula: str
 
 
 def rank_players_by_weekly_threshold(t: League, season: int, formula: str, fields: list[str], comparison: str, threshold: float,
-                                     basis: str, rank_by: str = "qualifying_games", minimum_games: int = 1, limit: int = 20) -> DataFrame:
-    weekly = t.weekly.filter((F.col("season") == season) & (F.col("season_type") == "REG"))
-    rosters = t.rosters.filter((F.col("season") == season) & (F.col("game_type") == "REG"))
+                                     basis: str, rank_by: str = "qualifying_games", minimum_games: int = 1, limit: int = 20,
+                                     season_type: str = "REG", position: str | None = None, player_ids: list[str] | None = None,
+                                     direction: str = "desc") -> DataFrame:
+    """Postseason rosters come under four game types; names join after the cut."""
+    games = P.POSTSEASON_GAMES if season_type == "POST" else [season_type]
+    weekly = t.weekly.filter((F.col("season") == season) & (F.col("season_type") == season_type))
+    rosters = t.rosters.filter((F.col("season") == season) & F.col("game_type").isin(games))
+    if player_ids:
+        weekly, rosters = (x.filter(F.col("player_id").isin(player_ids)) for x in (weekly, rosters))
     rosters = jn.latest_membership(rosters, "player_id", "week", "team", ["position", "status"])
     rows = agg.threshold_analysis(weekly, rosters, ["player_id"], "week", ["position", "team"], formula, fields, comparison, threshold, basis)
-    return rk.leaderboard(rows, rank_by, "player_id", "desc", [F.col("denominator_games") >= minimum_games], limit)
+    filters = [F.col("denominator_games") >= minimum_games, *_where(position=position)]
+    top = rk.leaderboard(rows, rank_by, "player_id", direction, filters, _limited(limit))
+    return top.join(t.players.select("player_id", "display_name"), "player_id", "left")
 
 
 def _snapshot(t: League, season: int, scoring: str, league: str, as_of: str | None, snapshot_type: str) -> DataFrame:

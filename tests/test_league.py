@@ -56,7 +56,23 @@ def test_rankings(tables):
     t = lg.rank_teams_by_formula(tables, 2024, "defense", "points_allowed + carries_allowed / games", ["attempts", "carries"], direction="asc")
     assert [(x["team"], x["metric_value"]) for x in t.results.orderBy("rank").collect()] == [("KC", 25.0), ("LV", 37.0)]
     w = lg.rank_players_by_weekly_threshold(tables, 2024, "passing_yards", ["passing_yards"], "gte", 200, "team_games").collect()
-    assert [(x["player_id"], x["denominator_games"], x["qualifying_weeks"], x["median"]) for x in w] == [("p1", 4, [2, 3], 150.0)]
+    assert [(x["player_id"], x["denominator_games"], x["qualifying_weeks"], x["median"], x["display_name"]) for x in w] == [("p1", 4, [2, 3], 150.0, "Pat Q")]
+
+
+def test_weekly_threshold_options(tables, spark):
+    late = tables.weekly.filter("player_id = 'p1' AND week < 3").withColumns({"week": F.col("week") + 18, "season_type": F.lit("POST")})
+    games = spark.createDataFrame([("p1", "KC", 2024, w, kind, "QB", "ACT") for w, kind in ((19, "WC"), (20, "DIV"), (22, "SB"))], tables.rosters.schema)
+    both = tables._replace(weekly=tables.weekly.unionByName(late), rosters=tables.rosters.unionByName(games))
+
+    def ask(**options):
+        out = lg.rank_players_by_weekly_threshold(both, 2024, "targets", ["targets"], "gte", 8, options.pop("basis", "stat_row"), **options)
+        return [(x["player_id"], x["denominator_games"], x["qualifying_games"], x["team_games"]) for x in out.orderBy("place").collect()]
+
+    assert ask() == [("p2", 2, 2, 0), ("p1", 3, 0, 0)]
+    assert ask(direction="asc") == [("p1", 3, 0, 0), ("p2", 2, 2, 0)]
+    assert ask(position="WR") == [("p2", 2, 2, 0)] and ask(player_ids=["p1"]) == [("p1", 3, 0, 0)]
+    assert ask(season_type="POST") == [("p1", 2, 0, 0)] and ask(season_type="POST", basis="team_games") == [("p1", 3, 0, 3)]
+
 
 
 def test_expert_ranks(tables):
