@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,18 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def first_by_hash(df: DataFrame, key: str, sample: int, *ties: str) -> DataFrame:
+    """At most `sample` rows, those first in the order of a hash of the key: a bounded sample to fit a model on.
+
+    The rows are counted first, and only a share of the hash range that holds about four times the sample is
+    sorted: what all tasks together hand on does not grow with their number.
+    """
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    share = min(1.0, 4 * sample / max(1, df.count()))
+    near = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") < share * (1 << 32)
+    return df.where(near).orderBy(digest, key, *ties).limit(sample)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle width of the session: the one setting by which a cluster sizes its stages."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -54,6 +68,14 @@ def extended(df: DataFrame, added: str, without: tuple[str, ...] = ()) -> T.Stru
     return T.StructType([f for f in df.schema.fields if f.name not in without] + T.StructType.fromDDL(added).fields)
 
 
+def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> Iterator[bytes]:
+    """The UTF-8 bytes of every row, a null as an empty text, some rows at a time."""
+    values = batch.column(column).cast(pa.binary())
+    for s in range(0, len(values), rows):
+        for text in values.slice(s, rows).to_pylist():
+            yield text or b""
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

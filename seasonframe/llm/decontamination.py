@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.common import extended, unused, written
+from seasonframe.llm.common import extended, texts_of, unused, written
 
 # Consecutive words of an item that count as a leak.
 WINDOW = 10
@@ -124,8 +124,8 @@ def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], width: int, words:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.string())]))
         for batch in batches:
             counts, n_hit, ids, spans, marked = [], [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                n, hits = scan(text or b"", found)
+            for text in texts_of(batch):
+                n, hits = scan(text, found)
                 inside: set[int] = set()
                 for a, b, _ in hits:
                     inside.update(range(a, b))

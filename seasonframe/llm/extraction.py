@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.common import extended
+from seasonframe.llm.common import extended, first_by_hash
 from seasonframe.llm.html_blocks import Block, blocks
 from seasonframe.llm.html_examples import example_pages, weak_label
 
@@ -199,8 +199,8 @@ def fit(pages: list[list[Block]], passes: int = 6, batch: int = 32, rate: float
 def train(pages: DataFrame, sample: int = SAMPLE) -> Tagger:
     """Fit on generated pages of many layouts, with words of a bounded sample of the table, and on that sample's
     pages with labels from their tags and names where these say enough."""
-    rows = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).orderBy(
-        F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), "html").limit(sample).select("html").collect()
+    usable = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).select("page_id", "html")
+    rows = first_by_hash(usable, "page_id", sample, "html").select("html").collect()
     real = [blocks(r["html"]) for r in rows]
     for page in real:
         for b in page:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.cells import whole_groups
-from seasonframe.llm.common import ByteHasher, bucketed, mix64, partitions, remainder, written
+from seasonframe.llm.common import ByteHasher, bucketed, mix64, partitions, remainder, texts_of, written
 from seasonframe.llm.elias_fano import Trie
 from seasonframe.llm.packing import pack, unpack
 
@@ -69,19 +69,17 @@ def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids = batch.column("doc_id").fill_null(0).to_numpy()
             flags = (np.array(batch.column("doc_id").is_null().to_pylist()) * 2 + np.array(batch.column("train").to_pylist())).astype(np.uint8)
-            s, total, out = 0, 0, []
-            for e in range(1, len(texts) + 1):
-                total += len(texts[e - 1])
-                if total >= batch_bytes or e == len(texts):
-                    tokens, lengths, words = _encoded(texts[s:e])
+            texts, total, s = [], 0, 0
+            for e, text in enumerate(texts_of(batch), 1):
+                texts.append(text)
+                total += len(text)
+                if total >= batch_bytes or e == batch.num_rows:
+                    tokens, lengths, words = _encoded(texts)
                     blob = pack(tokens.astype("<u4"), lengths.astype("<u4"), words, ids[s:e], flags[s:e])
-                    out.append((number, blob))
-                    s, total, number = e, 0, number + 1
-            for n, blob in out:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
+                    texts, total, s, number = [], 0, e, number + 1
 
     return docs.mapInArrow(run, "batch long, blob binary")
 
@@ -170,7 +168,7 @@ def _word_answers(words: DataFrame, shards: int) -> DataFrame:
                     answers.append(pack(own * shards + shard, counts[own].astype("<u4")))
                 yield _row(batch_of[s:e], 1, [shard] * (e - s), answers)
 
-    return words.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(run, _ROWS)
+    return words.repartitionById(shards, "shard").sortWithinPartitions("batch").mapInArrow(run, _ROWS)
 
 
 def _joined(stored: DataFrame, *answers: DataFrame) -> DataFrame:
@@ -216,7 +214,7 @@ def _pair_rows(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(run, _ROWS)
 
 
-def _pair_answers(pairs: DataFrame, total: int, different: int, prior: float, added: float) -> DataFrame:
+def _pair_answers(pairs: DataFrame, shards: int, total: int, different: int, prior: float, added: float) -> DataFrame:
     """Kind 2 back to the batches: the code of each pair, looked up in the shard's trie."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["shard"]):
@@ -255,7 +253,7 @@ def _pair_answers(pairs: DataFrame, total: int, different: int, prior: float, ad
                 answers = [pack(part) for part in np.split(found, np.cumsum(lengths)[:-1])]
                 yield _row(batch_of[s:e], 2, [int(shard_of[s])] * (e - s), answers)
 
-    return pairs.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(run, _ROWS)
+    return pairs.repartitionById(shards, "shard").sortWithinPartitions("batch").mapInArrow(run, _ROWS)
 
 
 def _scores(rows: DataFrame, shards: int, total: int, different: int, prior: float, added: float) -> DataFrame:
@@ -301,5 +299,5 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, prior: float = PRIOR, a
     totals = [unpack(bytes(r["blob"]))[0] for r in answers.where("kind = 9").select("blob").collect()]
     total, different = (int(sum(t[k] for t in totals)) for k in (0, 1))
     words = answers.where("kind = 1")
-    pairs = _pair_answers(_pair_rows(_joined(stored, words), shards), total, different, prior, added)
+    pairs = _pair_answers(_pair_rows(_joined(stored, words), shards), shards, total, different, prior, added)
     return _scores(_joined(stored, words, pairs), shards, total, different, prior, added)

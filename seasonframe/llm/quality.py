@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.common import ByteHasher, extended, mix64, remainder
+from seasonframe.llm.common import ByteHasher, extended, first_by_hash, mix64, remainder, texts_of, written
 from seasonframe.llm.substring import SLAB_BYTES, word_bounds
 
 # Labelled rows of each class that the model is fitted on: those first in the order of a hash of their ids.
@@ -47,25 +47,30 @@ _KIND[ord(",")] = 4
 _KIND[ord("!")] = 5
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of every n-gram indicator, each once, ordered by document.
+def feature_slabs(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, feature) of every n-gram indicator, each once, ordered by document, some documents at a time.
 
     Word uni- and bigrams are hashed without regard to A-Z case. The shape of a word says whether it repeats
     the word before, what its first and last bytes are, and whether it is in capitals; shape uni- and bigrams
     are indicators at each share of the words that they reach.
     """
-    lines = [b" ".join(t.split()) for t in texts]
-    docs, found, s, total = [], [], 0, 0
-    for i, line in enumerate(lines):
-        total += len(line) + 1
-        if total >= SLAB_BYTES or i == len(lines) - 1:
-            d, f = _slab_features(b"\n".join(lines[s:i + 1]))
-            docs.append(d + s)
-            found.append(f)
-            s, total = i + 1, 0
-    if not docs:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(docs), np.concatenate(found)
+    lines, total, first = [], 0, 0
+    for text in texts:
+        lines.append(b" ".join(text.split()))
+        total += len(lines[-1]) + 1
+        if total >= SLAB_BYTES:
+            doc, feature = _slab_features(b"\n".join(lines))
+            yield doc + first, feature
+            lines, total, first = [], 0, first + len(lines)
+    if lines:
+        doc, feature = _slab_features(b"\n".join(lines))
+        yield doc + first, feature
+
+
+def features(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All of `feature_slabs` at once, for a bounded list of texts."""
+    slabs = list(feature_slabs(texts)) or [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    return np.concatenate([d for d, _ in slabs]), np.concatenate([f for _, f in slabs])
 
 
 def _slab_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +115,14 @@ class Model:
     slope: float
     offset: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        doc, feature = features(texts)
-        r = self.ratio[feature].astype(np.float64)
-        length = np.sqrt(np.bincount(doc, r * r, len(texts)))
-        margin = self.bias + np.bincount(doc, r * self.weights[feature], len(texts)) / np.maximum(length, 1e-12)
+    def scores(self, texts: Iterable[bytes], n: int) -> np.ndarray:
+        """The scores of n texts."""
+        length, product = np.zeros(n), np.zeros(n)
+        for doc, feature in feature_slabs(texts):
+            r = self.ratio[feature].astype(np.float64)
+            length += np.bincount(doc, r * r, n)
+            product += np.bincount(doc, r * self.weights[feature], n)
+        margin = self.bias + product / np.maximum(np.sqrt(length), 1e-12)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
@@ -177,14 +185,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         F.min("quality").alias("_good")).where(remainder(F.col("doc_id"), folds) != 0)
     # Only ids that have a text to learn from take a place in the sample.
     marked = marked.join(docs.where(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    chosen = marked.where("_good = 0").orderBy(*order).limit(sample).unionByName(
-        marked.where("_good = 1").orderBy(*order).limit(sample))
+    marked = written(marked)
+    chosen = first_by_hash(marked.where("_good = 0"), "doc_id", sample).unionByName(
+        first_by_hash(marked.where("_good = 1"), "doc_id", sample))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_good", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, feature = features([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            doc, feature = features(texts_of(batch))
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_good").cast(pa.int32()),
@@ -213,7 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, sample:
     marked = base.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True)))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            scores = shared.value.scores(texts_of(batch), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array((scores >= accept).astype(np.int32))],
                 names=[*batch.schema.names, "score", "predicted"])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.cells import grouped, whole_groups
-from seasonframe.llm.common import written
+from seasonframe.llm.common import texts_of, written
 from seasonframe.llm.components import block_pairs, components
 
 SHINGLE = 3
@@ -48,8 +48,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(t or b"", width) for t in texts], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, width) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint long")
