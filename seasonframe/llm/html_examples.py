@@ -131,6 +131,11 @@ def example_pages(sentences: list[str], n: int = 900, seed: int = 9) -> list[str
             inside.append(body_block())
             if rng.random() < 0.07:
                 inside.append(part(pick(("advert", "sidebar", "share", "notice", "form"))))
+        # Some sites keep page furniture inside the article's element.
+        if rng.random() < 0.15:
+            inside.insert(0, part(pick(("menu", "header", "notice", "share"))))
+        if rng.random() < 0.2:
+            inside.append(part(pick(("comments", "comments", "footer", "sidebar", "form"))))
         article = "".join(inside)
         depth = int(rng.integers(1, 4))
         for level in range(depth):
