@@ -19,8 +19,8 @@ WINDOW = 13
 GRAM = 2
 
 # Text that one task cuts into super-k-mers at a time, and bytes hashed at a time (some 30 times that in memory).
-CHUNK_BYTES = 8_000_000
-SLAB_BYTES = 2_000_000
+CHUNK_BYTES = 6_000_000
+SLAB_BYTES = 900_000
 
 # Buckets per shuffle partition of the session; each bucket is a partition of its own.
 BUCKETS = 2
@@ -99,28 +99,32 @@ def _packed(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, tags = batch.column("_id").to_numpy(), batch.column("_tag").to_numpy()
             for rows, lines in _chunks(texts_of(batch), CHUNK_BYTES):
-                places: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(dict)
+                # Words: their minimiser, then line and first word of every place. Equal words have one minimiser.
+                places: dict[bytes, list[int]] = {}
                 for minimiser, line, word, words in super_kmers(lines, window, gram):
-                    places[minimiser].setdefault(words, []).append((line, word))
-                dealt: dict[int, list[int]] = defaultdict(list)
-                keys = np.fromiter(places, dtype=np.uint64, count=len(places))
-                for key, bucket in zip(keys.tolist(), (mix64(keys) % np.uint64(buckets)).tolist()):
-                    dealt[bucket].append(key)
-                out_bucket, out_blob = [], []
-                rows_at = np.array(rows)
-                for bucket, members in dealt.items():
-                    strings, counts, at = [], [], []
-                    for key in members:
-                        for words, where in places[key].items():
-                            strings.append(words)
-                            counts.append(len(where))
-                            at += where
-                    line, word = np.array(at, dtype=np.int32).T
-                    used, line = np.unique(line, return_inverse=True)
-                    out_bucket.append(bucket)
+                    found = places.get(words)
+                    if found is None:
+                        places[words] = [minimiser, line, word]
+                    else:
+                        found += (line, word)
+                if not places:
+                    continue
+                strings, found = list(places), list(places.values())
+                del places
+                keys = np.array([f[0] for f in found], dtype=np.uint64)
+                bucket_of = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
+                # Strings of one minimiser side by side: they share words, and so compress.
+                order = np.lexsort((keys, bucket_of))
+                cut = np.flatnonzero(np.append(True, np.diff(bucket_of[order]) != 0))
+                out_bucket, out_blob, rows_at = [], [], np.array(rows)
+                for part in np.split(order, cut[1:]):
+                    members = part.tolist()
+                    at = np.array([x for k in members for x in found[k][1:]], dtype=np.int32).reshape(-1, 2)
+                    used, line = np.unique(at[:, 0], return_inverse=True)
+                    out_bucket.append(int(bucket_of[members[0]]))
                     out_blob.append(pack(
-                        b"\n".join(strings), np.array(counts, dtype=np.int32), line.astype(np.int32), np.ascontiguousarray(word),
-                        ids[rows_at[used]], tags[rows_at[used]], level=6))
+                        b"\n".join([strings[k] for k in members]), np.array([len(found[k]) // 2 for k in members], dtype=np.int32),
+                        line.astype(np.int32), np.ascontiguousarray(at[:, 1]), ids[rows_at[used]], tags[rows_at[used]], level=6))
                 if out_blob:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
