@@ -10,12 +10,16 @@ from functools import lru_cache
 # Element names by their role in HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split())
+    "strike strong sub sup time tt u var "
+    "math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base basefont br col embed frame hr img input keygen link meta param source track wbr".split())
-HIDDEN = frozenset("button canvas datalist head iframe math noscript object select svg template".split())
+HIDDEN = frozenset("annotation annotation-xml button canvas datalist iframe select svg template".split())
+# All that may stand in a head; anything else, and text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 "
-    "h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table td th tr ul".split())
+    "h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table td th tr ul xmp".split())
 # An opening tag ends an open one of the second list, unless one of the third stands between.
 IMPLIED = {
     "li": ("li", "ol ul menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
@@ -26,7 +30,7 @@ P_BARRIER = frozenset("article aside blockquote body button caption div fieldset
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|textarea|title|xmp)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))
+      | <(?P<raw>script|style|textarea|title|xmp)\b[^>]*+(?:(?<=/)>|>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z))
       | <[!?][^>]*+(?:>|\Z)
       | </(?P<close>[a-z][^\s>/]*)[^>]*+(?:>|\Z)
       | <(?P<open>[a-z][^\s>/]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
@@ -57,12 +61,15 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks in page order, character references decoded and white space made one space.
 
     Tags need not balance: an end tag closes down to its opening or is ignored, paragraphs, items and cells end
-    where HTML ends them. Contents of scripts, styles, titles, fields and hidden elements are no blocks.
+    where HTML ends them, and an open head ends at the first text or tag that may not stand in it, which opens the
+    body. Contents of scripts, styles, titles, fields and hidden elements are no blocks; formulas are text of their
+    paragraph, and the contents of noscript, object and xmp are blocks.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool, int]] = []
     text: list[str] = []
     hidden = links = link_chars = 0
+    head = -1
 
     def flush() -> None:
         nonlocal link_chars
@@ -77,7 +84,9 @@ def blocks(page: str) -> list[Block]:
         link_chars = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal hidden, links
+        nonlocal hidden, links, head
+        if depth <= head:
+            head = -1
         for tag, _, is_hidden, _ in stack[depth:]:
             hidden -= is_hidden
             links -= tag == "a"
@@ -93,15 +102,35 @@ def blocks(page: str) -> list[Block]:
         if cut is not None:
             pop_to(cut)
 
+    def end_head(tag: str) -> None:
+        if head >= 0 and not hidden and tag not in HEAD:
+            pop_to(head)
+            if tag != "body":
+                stack.append(("body", ("body",), False, stack[-1][3] if stack else -1))
+
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
             if not hidden:
+                if not m["text"].isspace():
+                    end_head("")
                 text.append(m["text"])
                 if links:
                     link_chars += len(m["text"])
+        elif m["raw"]:
+            tag = m["raw"].lower()
+            end_head(tag)
+            if tag == "xmp" and not hidden:
+                flush()
+                end_open(frozenset(("p",)), P_BARRIER)
+                stack.append((tag, (tag,), False, stack[-1][3] if stack else -1))
+                # Its text has no character references.
+                text.append((m["inside"] or "").replace("&", "&amp;"))
+                flush()
+                pop_to(len(stack) - 1)
         elif kind in ("rest", "open", "bad"):
             tag = (m["open"] or m["bad"]).lower()
+            end_head(tag)
             if tag == "br":
                 if not hidden:
                     text.append(" ")
@@ -120,6 +149,8 @@ def blocks(page: str) -> list[Block]:
             mark = _MARK.search(rest) if "data-label" in rest else None
             stack.append((tag, element_names(tag, rest), tag in HIDDEN, int(mark[1]) if mark else stack[-1][3] if stack else -1))
             hidden += tag in HIDDEN
+            if tag == "head" and head < 0:
+                head = len(stack) - 1
             links += tag == "a"
         elif kind == "close":
             tag = m["close"].lower()

@@ -28,6 +28,23 @@ def test_blocks():
     assert block.path == (".content", ".main", ".top", ".x1", "div", "nav") and block.tag == "nav" and block.link_chars == 4
 
 
+def test_a_head_ends_without_its_end_tag():
+    story = ["h", "one", "two"]
+    assert texts("<html><head><title>t</title><meta charset=x><link href=y><h1>h</h1><p>one<p>two") == story
+    assert texts("<head><script>no</script><style>no</style>\n h <p>one</p><p>two</p>") == story
+    assert texts("<head><template><p>no</p></template><noscript><link href=y></noscript><body><h1>h</h1><p>one<p>two") == story
+    assert texts("<html><head><title>t</title></head><body><h1>h</h1><p>one<p>two</body></html>") == story
+    left_out, whole = blocks("<html><head><title>t</title><p>one"), blocks("<html><head><title>t</title></head><body><p>one")
+    assert left_out == whole
+
+
+def test_text_of_formulas_fallbacks_and_plain_text_is_read():
+    assert texts("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p>") == ["so E=m holds"]
+    assert texts("<p>a</p><noscript><p>b</p></noscript><object data=x>c</object><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<xmp><b>&amp;</b></xmp>d") == ["a", "<b>&amp;</b>", "d"]
+    assert texts("<button><xmp>no</xmp></button>yes") == ["yes"]
+
+
 def test_deep_and_long_pages_end():
     assert len(texts("<div>" * 3000 + "x" + "</div>" * 3000)) == 1
     assert len(texts("<svg>" * 2000 + "<p>a</p>" * 2000)) == 0
