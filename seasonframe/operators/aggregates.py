@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..common import assert_unique  # noqa: F401  part of this module's interface
 from ..functions.formulas import compile_formula
@@ -238,29 +239,41 @@ def rolling_quota(runs: DataFrame, provider: str, ts: str, n: str, budget: int)
     running sums at points in time: sums inside an hour, and sums over the hours before. No frame moves, so the
     work grows with the runs however many share a day, and a window holds one hour of a provider, or one row
     per hour.
+
+    Null is a provider like any other, as in a window. Amounts keep their type: integers and decimals add up
+    exactly; floating-point ones must be finite and carry the rounding of the provider's running sum. A null amount
+    counts as zero; a run without a time finds nothing used.
     """
     day_us, hour_us = 86_400_000_000, 3_600_000_000
+    # Sums of integers are bigint. A decimal held one digit short of the widest keeps its scale in one addition.
+    kind = runs.schema[n].dataType
+    held = T.DecimalType(37, min(kind.scale, 37)) if isinstance(kind, T.DecimalType) else (
+        T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType())
     timed = runs.withColumn("_us", F.unix_micros(ts))
     opened = F.col("_us") - (day_us - 1)
     points = timed.filter(F.col(ts).isNotNull()).select(
-        provider, F.inline(F.array(
-            F.struct(F.col("_us").alias("_at"), F.col(n).cast("bigint").alias("_n")),
-            F.struct(opened.alias("_at"), F.lit(0).cast("bigint").alias("_n")))))
-    points = points.groupBy(provider, "_at").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).withColumn(
+        F.col(provider).alias("_p"), F.inline(F.array(
+            F.struct(F.col("_us").alias("_at"), F.col(n).cast(held).alias("_n")),
+            F.struct(opened.alias("_at"), F.lit(0).cast(held).alias("_n")))))
+    points = points.groupBy("_p", "_at").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast(held).alias("_n")).withColumn(
         "_hour", F.floor(F.col("_at") / hour_us))
 
     def running(partition: list[str], order: str) -> Column:
         window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(window), F.lit(0))
-
-    hours = points.groupBy(provider, "_hour").agg(F.sum("_n").alias("_n"))
-    hours = hours.select(provider, "_hour", running([provider], "_hour").alias("_earlier"))
-    totals = points.withColumn("_inside", running([provider, "_hour"], "_at")).join(hours, [provider, "_hour"]).select(
-        provider, "_at", (F.col("_inside") + F.col("_earlier")).alias("_before"))
-    used = timed.join(totals.withColumnsRenamed({"_at": "_us", "_before": "_until"}), [provider, "_us"], "left")
-    used = used.withColumn("_from", opened).join(
-        totals.withColumnsRenamed({"_at": "_from", "_before": "_gone"}), [provider, "_from"], "left")
-    return used.withColumn("used_24h", F.coalesce(F.col("_until") - F.col("_gone"), F.lit(0))).withColumn(
+        return F.coalesce(F.sum("_n").over(window), F.lit(0)).cast(held)
+
+    hours = points.groupBy("_p", "_hour").agg(F.sum("_n").cast(held).alias("_n"))
+    hours = hours.select(F.col("_p").alias("_hp"), F.col("_hour").alias("_h"), running(["_p"], "_hour").alias("_earlier"))
+    inside = points.withColumn("_inside", running(["_p", "_hour"], "_at"))
+    totals = inside.join(hours, F.col("_p").eqNullSafe(F.col("_hp")) & (F.col("_hour") == F.col("_h"))).select(
+        "_p", "_at", (F.col("_inside") + F.col("_earlier")).cast(held).alias("_before"))
+
+    def at(rows: DataFrame, when: str, total: str) -> DataFrame:
+        found = totals.select(F.col("_p").alias("_tp"), F.col("_at").alias("_t"), F.col("_before").alias(total))
+        return rows.join(found, F.col(provider).eqNullSafe(F.col("_tp")) & (F.col(when) == F.col("_t")), "left").drop("_tp", "_t")
+
+    used = at(at(timed.withColumn("_from", opened), "_us", "_until"), "_from", "_gone")
+    return used.withColumn("used_24h", F.coalesce(F.col("_until") - F.col("_gone"), F.lit(0).cast(held))).withColumn(
         "exhausted", F.col("used_24h") >= budget).select(*runs.columns, "used_24h", "exhausted")
 
 

@@ -376,6 +376,24 @@ def test_rolling_quota_at_the_edges_of_the_day(spark):
             assert used == sum(m or 0 for q, u, m in data if q == p and us - day < u < us)
 
 
+@pytest.mark.parametrize("kind", ["int", "decimal(6,2)", "decimal(38,18)", "double"])
+def test_rolling_quota_of_null_providers_and_fractions(spark, kind):
+    from seasonframe.operators.aggregates import rolling_quota
+
+    rng = random.Random(12)
+    day = 86_400_000_000
+    amounts = [0, 1, 3, None] if kind == "int" else [0, 0.25, 1.5, None]
+    data = [(rng.choice(["p", None]), rng.choice([0, 1, day - 1, day, day + 1, rng.randrange(3 * day)]), rng.choice(amounts)) for _ in range(120)]
+    data.append((None, None, 1))
+    df = spark.createDataFrame([(p, us, None if n is None else str(n)) for p, us, n in data], "p string, us long, n string").select(
+        "p", "us", F.timestamp_micros("us").alias("ts"), F.col("n").cast(kind).alias("n"))
+    out = rows(rolling_quota(df, "p", "ts", "n", 5).select("p", "us", "used_24h", "exhausted"))
+    assert len(out) == len(data) and any(p is None and used for p, _, used, _ in out)
+    for p, us, used, exhausted in out:
+        want = 0 if us is None else sum(m or 0 for q, u, m in data if u is not None and q == p and us - day < u < us)
+        assert float(used) == want and exhausted == (want >= 5)
+
+
 
 
 def test_pregame_snapshot_by_values_not_names(spark):
