@@ -296,6 +296,21 @@ def test_name_tiers(spark):
         7: ("not_found", None, None)}
 
 
+def test_every_ambiguous_reference_lists_its_candidates(spark):
+    catalog = spark.createDataFrame(
+        [("1", "Al Bo", "x"), ("2", "al bo", "y"), ("3", "Cy Do Jr.", "x"), ("4", "Cy Do Sr.", "y"), ("5", "Ed Fix", "x"),
+         ("6", "Gus Fix", "y"), ("7", "Hal Ivory", "x")], "player_id string, display_name string, team string")
+    refs = spark.createDataFrame(
+        [(1, "AL BO"), (2, "Cy Do"), (3, "Zed Fix"), (4, "fix"), (5, "Hal Ivory"), (6, "none"), (7, None),
+         (8, "0000abcd-0000-4000-8000-000000000000")], "ref_id long, name string")
+    resolved, candidates = nm.resolve_references(refs, catalog)
+    assert sorted(rows(candidates.select("ref_id", "basis", "player_id"))) == [
+        (1, "exact", "1"), (1, "exact", "2"), (2, "plain", "3"), (2, "plain", "4"),
+        (3, "surname", "5"), (3, "surname", "6"), (4, "partial", "5"), (4, "partial", "6")]
+    counts = {r.ref_id: r.n_candidates for r in resolved.filter("status = 'ambiguous'").collect()}
+    assert counts == {1: 2, 2: 2, 3: 2, 4: 2}
+
+
 def test_lineup_problems(spark):
     players = spark.createDataFrame([(1, "a", "QB", True), (1, "b", "RB", True), (1, "c", "RB", False), (1, "d", "WR", True)],
                                     "r int, player_id string, position string, usable boolean")
