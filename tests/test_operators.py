@@ -311,6 +311,19 @@ def test_every_ambiguous_reference_lists_its_candidates(spark):
     assert counts == {1: 2, 2: 2, 3: 2, 4: 2}
 
 
+def test_references_of_one_and_two_letters_match_by_contains(spark):
+    catalog = spark.createDataFrame(
+        [("1", "Al Bo", "x"), ("2", "Bo Cy", "y"), ("3", "Q", "x"), ("4", "Xi", "x")], "player_id string, display_name string, team string")
+    refs = spark.createDataFrame([(1, "al"), (2, "bo"), (3, "i"), (4, "zz"), (5, "y"), (6, ""), (7, "q")], "ref_id long, name string")
+    resolved, candidates = nm.resolve_references(refs, catalog)
+    got = {r.ref_id: (r.status, r.basis, r.n_candidates, r.player_id) for r in resolved.collect()}
+    assert got == {
+        1: ("resolved", "partial", 1, "1"), 2: ("ambiguous", "partial", 2, None), 3: ("resolved", "partial", 1, "4"),
+        4: ("not_found", None, 0, None), 5: ("resolved", "partial", 1, "2"), 6: ("not_found", None, 0, None),
+        7: ("resolved", "exact", 1, "3")}
+    assert sorted(rows(candidates.select("ref_id", "player_id"))) == [(2, "1"), (2, "2")]
+
+
 def test_lineup_problems(spark):
     players = spark.createDataFrame([(1, "a", "QB", True), (1, "b", "RB", True), (1, "c", "RB", False), (1, "d", "WR", True)],
                                     "r int, player_id string, position string, usable boolean")
