@@ -55,6 +55,9 @@ def test_rankings(tables):
     assert [x["player_id"] for x in r.zero_denominator.collect()] == ["p1"]
     t = lg.rank_teams_by_formula(tables, 2024, "defense", "points_allowed + carries_allowed / games", ["attempts", "carries"], direction="asc")
     assert [(x["team"], x["metric_value"]) for x in t.results.orderBy("rank").collect()] == [("KC", 25.0), ("LV", 37.0)]
+    for limit in (0, 21):
+        with pytest.raises(ValueError):
+            lg.rank_players_by_formula(tables, 2024, "receptions / targets", limit=limit)
     w = lg.rank_players_by_weekly_threshold(tables, 2024, "passing_yards", ["passing_yards"], "gte", 200, "team_games").collect()
     assert [(x["player_id"], x["denominator_games"], x["qualifying_weeks"], x["median"], x["display_name"]) for x in w] == [("p1", 4, [2, 3], 150.0, "Pat Q")]
 
