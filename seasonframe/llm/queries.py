@@ -9,7 +9,7 @@ from seasonframe.plans.registry import Query
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["native_queries", "scan_queries", "dedup_queries", "page_queries", "vector_queries"]
+MODULES = ["native_queries", "scan_queries", "dedup_queries", "page_queries", "vector_queries", "conversation_queries"]
 
 
 def query(name: str, sql: str | None = None):
