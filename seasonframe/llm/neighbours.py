@@ -16,14 +16,19 @@ from seasonframe.llm.packing import pack, unpack
 NEIGHBOURS = 5
 SEED = 11
 
-# Width of the error bound in standard deviations of the estimate. A true neighbour is lost with a probability
-# below 1e-6 per pair; up to 26 dimensions the bound cannot fail at all.
-WIDTH = 5.0
+# Width of the error bound in standard deviations of the estimate. A neighbour right at the k-th place is lost with
+# a probability of about 0.001, a nearer one with less; up to 10 dimensions the bound cannot fail at all.
+WIDTH = 3.0
 
-# Queries of a block, candidates of a packed value, and queries estimated at a time.
+# Queries of a block, candidates of a packed value, queries estimated at a time, and candidates that a query sees
+# before it has anything to exclude others with.
 QUERY_BLOCK = 2048
 BATCH = 4096
 SLICE = 256
+FIRST = 64
+
+# What single precision may be off in a cosine.
+ROUNDING = 1e-5
 
 
 @functools.lru_cache(maxsize=4)
@@ -73,26 +78,40 @@ class Block:
         self.size = rows.shape[1]
         self.width = min(width, np.sqrt(max(1, self.size - 1)))
         self.length = np.sqrt(summed(rows, rows))
-        self.turned = (rows / self.length[:, None]).astype(np.float32) @ rotation(self.size)
+        self.unit = (rows / self.length[:, None]).astype(np.float32)
+        self.turned = self.unit @ rotation(self.size)
         self.best = np.full((len(rows), k), -np.inf)
         self.found = np.full((len(rows), k), np.iinfo(np.int64).max)
+        self.seen = 0
 
     def see(self, rows: np.ndarray, ids: np.ndarray, length: np.ndarray, packed: np.ndarray, factor: np.ndarray, spread: np.ndarray) -> None:
         codes = decode(packed, self.size) * factor[:, None].astype(np.float32)
-        reach = self.width * spread
-        for s in range(0, len(self.rows), SLICE):
-            estimate = (self.turned[s:s + SLICE] @ codes.T).astype(np.float64)
-            own = self.ids[s:s + SLICE, None] == ids[None, :]
-            # Two floors under a query's k-th best: what it has, and what this batch must hold.
-            floor = self.best[s:s + SLICE, -1]
-            if len(ids) > self.k:
-                sure = np.where(own, -np.inf, estimate - reach)
-                floor = np.maximum(floor, np.partition(sure, -self.k, axis=1)[:, -self.k])
-            floor = np.clip(floor, -1, 1)[:, None] - 1e-5
-            bound = floor - reach * np.sqrt(np.maximum(0, 1 - np.maximum(floor, 0) ** 2))
-            q, c = np.nonzero((estimate >= bound) & ~own)
-            if len(q):
-                self._rerank(s + q, c, rows, ids, length)
+        # Two more columns carry what a query must exceed: one product gives estimate + bound - k-th best so far.
+        codes = np.column_stack([codes, np.ones(len(ids)), self.width * spread]).astype(np.float32)
+        unit = (rows / length[:, None]).astype(np.float32)
+        at = 0
+        while at < len(ids):
+            # As many as were seen before, so that few are reranked for want of something better.
+            part = slice(at, min(len(ids), at + max(FIRST, self.seen)))
+            for s in range(0, len(self.rows), SLICE):
+                self._compare(s, rows[part], ids[part], length[part], codes[part], unit[part])
+            self.seen += part.stop - at
+            at = part.stop
+
+    def _compare(self, s: int, rows: np.ndarray, ids: np.ndarray, length: np.ndarray, codes: np.ndarray, unit: np.ndarray) -> None:
+        floor = np.clip(self.best[s:s + SLICE, -1], -1, 1) - ROUNDING
+        room = np.sqrt(1 - np.clip(floor, 0, 1) ** 2)
+        asked = np.column_stack([self.turned[s:s + SLICE], -floor, room]).astype(np.float32)
+        q, c = np.divmod(np.flatnonzero(asked @ codes.T >= 0), len(ids))
+        kept = []
+        for t in range(0, len(q), 1 << 15):
+            a, b = q[t:t + (1 << 15)], c[t:t + (1 << 15)]
+            near = np.einsum("ij,ij->i", self.unit[s + a], unit[b])
+            kept.append(t + np.flatnonzero((near >= floor[a]) & (self.ids[s + a] != ids[b])))
+        if kept:
+            at = np.concatenate(kept)
+            if len(at):
+                self._rerank(s + q[at], c[at], rows, ids, length)
 
     def _rerank(self, q: np.ndarray, c: np.ndarray, rows: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         cosine = np.empty(len(q))
@@ -172,8 +191,9 @@ def nearest(rows: DataFrame, asked: Column, k: int = NEIGHBOURS, width: float =
 
     Every vector is indexed by one bit per rotated dimension and two correction factors; nothing is fitted. Blocks
     of queries meet shares of the index in one task each, which reads its share value by value: the codes give an
-    estimate and a bound for every pair, and vectors that may still reach a query's k-th best so far are reranked by
-    their cosine in double precision. So tasks hold one block and one value, and send k rows a query.
+    estimate and a bound for every pair, and vectors that may still reach a query's k-th best so far are reranked:
+    by the cosine in single precision, and by that in double where it may matter. So tasks hold one block and one
+    value, and send k rows a query.
 
     Vectors that are null, empty, zero or hold null or non-finite parts, and rows without an id, take no part.
     Only vectors of one length are compared. A row is never found by a query of its own id; rows that repeat an id
@@ -184,7 +204,7 @@ def nearest(rows: DataFrame, asked: Column, k: int = NEIGHBOURS, width: float =
     queries = vectors.where(asked)
     width_of_stage = partitions(rows)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    shares = max(1, 2 * width_of_stage // blocks)
+    shares = max(1, width_of_stage // blocks)
     share = F.pmod(F.xxhash64("blob"), F.lit(shares)).cast("int")
     index = _coded(vectors, k).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), share.alias("share"), F.lit(1).alias("kind"), "blob")
     questions = _asked(queries, blocks).select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), "blob")
