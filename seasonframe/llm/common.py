@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -112,6 +113,13 @@ class ByteHasher:
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def tidy() -> None:
+    """Give back what a finished task leaves in its worker: Spark uses the process again for other stages."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64, kept per process up to the longest buffer seen."""
     have = _POWERS.get(int(base))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.cells import whole_groups
-from seasonframe.llm.common import ByteHasher, extended, mix64, partitions, texts_of, unused
+from seasonframe.llm.common import ByteHasher, extended, mix64, partitions, texts_of, tidy, unused
 from seasonframe.llm.packing import pack, unpack
 
 # Words of a window, and of the grams among which a window's minimiser is chosen.
@@ -22,8 +22,10 @@ GRAM = 2
 CHUNK_BYTES = 6_000_000
 SLAB_BYTES = 900_000
 
-# Buckets per shuffle partition of the session; each bucket is a partition of its own.
+# Buckets per shuffle partition of the session; each bucket is a partition of its own. Its windows are unpacked
+# and sorted one share of the minimisers after the other.
 BUCKETS = 2
+SHARES = 6
 
 
 def _slabs(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -94,7 +96,8 @@ def _chunks(texts: Iterable[bytes], limit: int) -> Iterator[tuple[list[int], lis
 
 
 def _packed(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, blob): the different super-k-mers of a chunk of documents with the places where each stands."""
+    """(bucket, blob): the different super-k-mers of a chunk of documents with the places where each stands, and
+    where each share of the minimisers begins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column("_id").to_numpy(), batch.column("_tag").to_numpy()
@@ -112,9 +115,11 @@ def _packed(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
                 strings, found = list(places), list(places.values())
                 del places
                 keys = np.array([f[0] for f in found], dtype=np.uint64)
-                bucket_of = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
+                mixed = mix64(keys)
+                bucket_of = (mixed % np.uint64(buckets)).astype(np.int64)
+                share_of = ((mixed // np.uint64(buckets)) % np.uint64(SHARES)).astype(np.int64)
                 # Strings of one minimiser side by side: they share words, and so compress.
-                order = np.lexsort((keys, bucket_of))
+                order = np.lexsort((keys, share_of, bucket_of))
                 cut = np.flatnonzero(np.append(True, np.diff(bucket_of[order]) != 0))
                 out_bucket, out_blob, rows_at = [], [], np.array(rows)
                 for part in np.split(order, cut[1:]):
@@ -124,10 +129,13 @@ def _packed(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
                     out_bucket.append(int(bucket_of[members[0]]))
                     out_blob.append(pack(
                         b"\n".join([strings[k] for k in members]), np.array([len(found[k]) // 2 for k in members], dtype=np.int32),
+                        np.searchsorted(share_of[part], np.arange(SHARES + 1)).astype(np.int32),
                         line.astype(np.int32), np.ascontiguousarray(at[:, 1]), ids[rows_at[used]], tags[rows_at[used]], level=6))
                 if out_blob:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
+                del strings, found, out_blob
+        tidy()
 
     return docs.mapInArrow(run, "bucket long, blob binary")
 
@@ -172,39 +180,54 @@ def window_owners(strings: list[bytes], smallest: np.ndarray, window: int) -> tu
     return out, np.append(0, np.cumsum(counts))
 
 
+def _ranges(blobs: pa.ChunkedArray, share: int, window: int) -> dict[tuple[int, int], list[int]]:
+    """Repeated word ranges by (document, tag) from one share of a bucket: all strings with equal windows are in it.
+    Only this share's strings, places and windows are unpacked at a time; the rest stays compressed."""
+    strings: list[bytes] = []
+    parts = []
+    for blob in blobs:
+        text, counts, shares, line, word, ids, tags = unpack(blob.as_py())
+        s, e = int(shares[share]), int(shares[share + 1])
+        if s < e:
+            at = np.append(0, np.cumsum(counts))
+            a, b = int(at[s]), int(at[e])
+            parts.append((np.repeat(np.arange(e - s), counts[s:e]) + len(strings), ids[line[a:b]], tags[line[a:b]], word[a:b].copy()))
+            strings += text.split(b"\n")[s:e]
+    found: dict[tuple[int, int], list[int]] = defaultdict(list)
+    if not strings:
+        return found
+    string, doc, tag, word = (np.concatenate(x) for x in zip(*parts))
+    smallest = np.full(len(strings), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, string, doc)
+    owners, first = window_owners(strings, smallest, window)
+    least = np.minimum.reduceat(owners, first[:-1])
+    hit = np.flatnonzero(least[string] < doc)
+    for k, d, t, w in zip(string[hit].tolist(), doc[hit].tolist(), tag[hit].tolist(), word[hit].tolist()):
+        repeated = np.flatnonzero(owners[first[k]:first[k + 1]] < d).tolist()
+        a = b = repeated[0]
+        for r in repeated[1:]:
+            if r > b + window:
+                found[d, t] += (w + a, w + b + window)
+                a = r
+            b = r
+        found[d, t] += (w + a, w + b + window)
+    return found
+
+
 def _repeats(packed: DataFrame, window: int, buckets: int) -> DataFrame:
     """(_id, _tag, ranges): word ranges of a document covered by windows that a smaller document has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["bucket"]):
             for s, e in zip(starts, starts[1:]):
-                found: dict[tuple[int, int], list[int]] = defaultdict(list)
-                strings: list[bytes] = []
-                parts = []
-                for blob in table.column("blob").slice(s, e - s).to_pylist():
-                    text, counts, line, word, ids, tags = unpack(blob)
-                    strings += text.split(b"\n")
-                    parts.append((np.repeat(np.arange(len(counts)), counts) + len(strings) - len(counts),
-                                  ids[line], tags[line], word))
-                string, doc, tag, word = (np.concatenate(x) for x in zip(*parts))
-                smallest = np.full(len(strings), np.iinfo(np.int64).max)
-                np.minimum.at(smallest, string, doc)
-                owners, first = window_owners(strings, smallest, window)
-                least = np.minimum.reduceat(owners, first[:-1])
-                hit = np.flatnonzero(least[string] < doc)
-                for k, d, t, w in zip(string[hit].tolist(), doc[hit].tolist(), tag[hit].tolist(), word[hit].tolist()):
-                    repeated = np.flatnonzero(owners[first[k]:first[k + 1]] < d).tolist()
-                    a = b = repeated[0]
-                    for r in repeated[1:]:
-                        if r > b + window:
-                            found[d, t] += (w + a, w + b + window)
-                            a = r
-                        b = r
-                    found[d, t] += (w + a, w + b + window)
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
-                         pa.array([np.array(r, dtype=np.int32).tobytes() for r in found.values()], pa.binary())],
-                        names=["_id", "_tag", "ranges"])
+                blobs = table.column("blob").slice(s, e - s)
+                for share in range(SHARES):
+                    found = _ranges(blobs, share, window)
+                    if found:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
+                             pa.array([np.array(r, dtype=np.int32).tobytes() for r in found.values()], pa.binary())],
+                            names=["_id", "_tag", "ranges"])
+        tidy()
 
     return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, "_id long, _tag long, ranges binary")
 
