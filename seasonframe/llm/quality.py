@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.common import ByteHasher, extended, first_by_hash, mix64, remainder, texts_of, written
+from seasonframe.llm.common import ByteHasher, extended, first_by_hash, mix64, remainder, texts_of, tidy, written
 from seasonframe.llm.substring import SLAB_BYTES, word_bounds
 
 # Labelled rows of each class that the model is fitted on: those first in the order of a hash of their ids.
@@ -219,11 +219,13 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, sample:
     base = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(train(base, labels, sample, folds))
     marked = base.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.scores(texts_of(batch), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array((scores >= accept).astype(np.int32))],
                 names=[*batch.schema.names, "score", "predicted"])
+        tidy()
 
     return marked.mapInArrow(run, extended(marked, "score double, predicted int"))

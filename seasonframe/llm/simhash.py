@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonframe.llm.cells import grouped, whole_groups
-from seasonframe.llm.common import texts_of, written
+from seasonframe.llm.common import texts_of, tidy, unused, written
 from seasonframe.llm.components import block_pairs, components
 
 SHINGLE = 3
@@ -43,15 +43,21 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every row; a null text has no words."""
+    """(doc_id, tag, fingerprint as a signed long) of every row; a null text has no words. The tag is a hash of
+    the text: with it a row is found again among rows that repeat its id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(found)], names=["doc_id", "tag", "fingerprint"])
+        tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return docs.select("doc_id", text_tag(F.col("text")).alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, fingerprint long")
+
+
+def text_tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -177,22 +183,47 @@ def spanning(fps: np.ndarray, side: np.ndarray, chain: list[tuple[np.uint64, int
     return a, b
 
 
+def _grouped(docs: DataFrame, width: int, distance: int) -> DataFrame:
+    """(doc_id, tag, fingerprint, node, component_id) of every row: `node` is the smallest fingerprint of the row's
+    component, component_id the smallest id in it."""
+    prints = written(fingerprints(docs, width))
+    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("id")))
+    edges = links(nodes.where(F.col("id").isNotNull()).select(F.col("fingerprint").alias("id"), "fingerprint"), distance)
+    joined = nodes.join(components(edges).select(F.col("node").alias("fingerprint"), F.col("component_id").alias("node")), "fingerprint", "left")
+    linked_nodes = written(joined)
+    names = linked_nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("component_id"))
+    named = linked_nodes.join(names, "node", "left").select(
+        "fingerprint", F.coalesce("node", "fingerprint").alias("node"), F.coalesce("component_id", "id").alias("component_id"))
+    return prints.join(named, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id, kept) of every row.
 
-    Rows of one fingerprint are one node, named by their smallest id; nodes are linked where fingerprints
-    differ in at most `distance` bits; component_id is the smallest id reachable. `kept` marks the row
-    whose id names its component.
+    Rows of one fingerprint are one node; nodes are linked where fingerprints differ in at most `distance` bits;
+    component_id is the smallest id reachable. `kept` marks the row whose id names its component.
 
     Null and empty texts have fingerprint zero and link like any other. A row with a null id takes the
     component of its fingerprint's other rows (null when there are none) and is kept only in that last
-    case. Repeated ids keep a row each. An empty table gives no rows; other columns are ignored.
+    case. A repeated id is in the component of each of its texts, which it does not link, and keeps a row each. An
+    empty table gives no rows; other columns are ignored.
     """
-    prints = written(fingerprints(docs, width))
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("id")))
-    edges = links(nodes.where(F.col("id").isNotNull()), distance)
-    named = nodes.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select(
-        "fingerprint", F.coalesce("component_id", "id").alias("component_id"))
-    return prints.join(named, "fingerprint").select(
+    return _grouped(docs, width, distance).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of `docs`, all columns, that stay when each component keeps one: the row with the smallest id (null
+    ids last), and among rows of that id the one with the smallest text tag. Of rows equal in both one stays."""
+    first = _grouped(docs, width, distance).groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("r"))
+    key, place = unused("key"), unused("place")
+
+    def named(doc_id: Column, tag: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), tag.cast("string"))
+
+    kept = first.select(named(F.col("r.doc_id"), F.col("r.tag")).alias(key))
+    # Equal rows share the join's key, so telling them apart needs no shuffle beyond the join's.
+    found = docs.withColumn(key, named(F.col("doc_id"), text_tag(F.col("text")))).join(kept, key, "left_semi")
+    return found.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(place) == 1).select(*docs.columns)

@@ -57,7 +57,7 @@ def _hashed(distinct: DataFrame, tables: int, projections: int, step: float) ->
                     pa.array(list(found.astype(np.int64)), pa.list_(pa.int64()))],
                 names=["id", "label", "mult", "bytes", "codes", "_codes"])
 
-    flat = distinct.mapInArrow(run, "id long, label long, mult long, bytes binary, codes binary, _codes array<long>")
+    flat = distinct.mapInArrow(run, "id long, label string, mult long, bytes binary, codes binary, _codes array<long>")
     return flat.select("id", "label", "mult", "bytes", "codes", F.posexplode("_codes").alias("_table", "_code")).select(
         "id", "label", "mult", "bytes", "codes", "_table",
         F.xxhash64("label", F.length("bytes"), "_table", "_code").alias("_key")).drop("_code")
@@ -77,7 +77,8 @@ def _compared(cells: DataFrame, threshold: float) -> DataFrame:
         for table, starts in whole_groups(batches, ["_key", "_cell"]):
             out: list[tuple[np.ndarray, ...]] = []
             ids, mult, side = (table.column(c).to_numpy() for c in ("id", "mult", "_side"))
-            label, at_table = table.column("label").to_numpy(), table.column("_table").to_numpy()
+            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            at_table = table.column("_table").to_numpy()
             lengths = np.diff(starts)
             for g in np.flatnonzero(lengths > 1):
                 s, n = int(starts[g]), int(lengths[g])
@@ -119,8 +120,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TA
     pair counts in the first table that has it. Cells report counts and a spanning forest, never pairs.
 
     A row whose vector is null, empty, zero or has null or non-finite parts, whose label is null, or whose
-    id is null, links with nothing. Vectors of different length never link. Repeated ids are rows of their
-    own. An empty table gives no rows; other columns are ignored.
+    id is null, links with nothing. Vectors of different length never link. Labels of any type that can be
+    grouped by count as equal when Spark's grouping says so. Repeated ids are rows of their own. An empty table gives no rows; other columns are ignored.
     """
     # The finite test holds for exactly the numbers that are neither infinite nor NaN.
     parts = F.col("embedding").cast("array<double>")
@@ -131,7 +132,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TA
     packed = written(_packed(base))
     distinct = written(packed.where("usable").groupBy("label", "bytes").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult")))
-    hashed = _hashed(distinct.select("id", F.col("label").cast("long").alias("label"), "mult", "bytes"),
+    # The label as text, whatever its type: JSON keeps the parts of nested labels apart.
+    hashed = _hashed(distinct.select("id", F.to_json(F.struct("label")).alias("label"), "mult", "bytes"),
                      tables, projections, step)
     found = written(_compared(grouped(block_pairs(hashed, "_key", F.xxhash64("id"), cell), "_key", "_cell"), threshold))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -53,3 +53,36 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and {"doc_id", "taken", "target", "first_position"} <= set(out[0].asDict())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, score string, n_words string, kept_text int, spans double, n_hit int"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, f"s{k}", f"w{k}", k, k / 2, -k) for k, (i, t, s) in enumerate(rows)], SCHEMA)
+
+
+def test_stages_keep_columns_nulls_and_clean_rows(spark):
+    """Columns named like an operator's own, no n_chars, null ids, texts and sources, repeated rows and ids."""
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, long, "a"), (1, long, "a"), (2, "before " + long + " after", "b"), (3, None, None), (4, "", "a"), (None, "one two three four", None),
+            (5, "some other words of its own here", "b"), (5, "an id with another text altogether, not like it", "b")]
+    docs = odd(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    every = {tuple(r) for r in docs.collect()}
+    for name in ("quality classifier", "SimHash near-dedup", "benchmark decontamination"):
+        out = stages[name](spark, docs, SF)
+        assert out.schema == docs.schema and {tuple(r) for r in out.collect()} <= every
+    single = [(r.doc_id, r.text) for r in stages["SimHash near-dedup"](spark, docs, SF).collect()]
+    assert sorted(single, key=str) == sorted([
+        (1, long), (2, "before " + long + " after"), (3, None), (None, "one two three four"),
+        (5, "some other words of its own here"), (5, "an id with another text altogether, not like it")], key=str)
+    cut = stages["substring dedup"](spark, docs, SF)
+    assert cut.schema == docs.schema
+    text = {(r.doc_id, r.score): r.text for r in cut.collect()}
+    assert text[2, "s2"] == "before after" and text[3, "s3"] is None and text[1, "s0"] == long and len(text) == len(rows)
+    clean = stages["benchmark decontamination"](spark, docs, SF)
+    assert clean.count() == len(rows)
+    assert stages["mixing sources"](spark, docs, SF).count() == len(rows)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), SF).count() == 0

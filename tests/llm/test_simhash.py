@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seasonframe.llm.simhash import chain_masks, linked, links, near_duplicates, spanning
+from seasonframe.llm.simhash import chain_masks, linked, links, near_duplicates, one_of_each, spanning
 
 
 def slow_fingerprint(text):
@@ -108,3 +108,13 @@ def test_null_ids_repeats_and_empty_table(spark):
     out = near_duplicates(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "p q r s t")], schema)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in out) == [(-1, -1, True), (-1, 4, False), (4, 4, True), (4, 4, True)]
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_repeated_id_links_no_strangers(spark):
+    rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "a b c d e"), (3, "p q r s t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {(r.doc_id, r.fingerprint): r.component_id for r in near_duplicates(df).collect()}
+    assert len({f for _, f in prints}) == 2 and set(prints.values()) == {1}
+    assert sorted((r.doc_id, r.text) for r in one_of_each(df).collect()) == [(1, "a b c d e"), (1, "p q r s t")]
+    apart = spark.createDataFrame([(1, "a b c d e"), (1, "p q r s t"), (0, "a b c d e"), (3, "p q r s t")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(apart).collect() if r.doc_id != 1} == {0: 0, 3: 1}

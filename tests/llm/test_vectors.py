@@ -68,3 +68,11 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labels_of_any_type(spark):
+    v = [1.0, 0.5]
+    for kind, labels in (("double", [0.2, 0.7, 0.2]), ("string", ["a", "b", "a"]), ("struct<x:int,y:string>", [(1, "a"), (1, "b"), (1, "a")])):
+        df = spark.createDataFrame([(i, v if i else [1.0, 0.51], x) for i, x in enumerate(labels)], f"vec_id long, embedding array<float>, label {kind}")
+        out = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+        assert out == {0: (1, 0), 1: (0, 1), 2: (1, 0)}
