@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as rt
+from ..operators import vector_lsh as lsh
 from .inputs import FEED, STORED, feed_docs, stored_docs, table
 from .registry import query
 
@@ -110,6 +111,18 @@ def vector_threshold(spark, d):
     return vector_hits(spark, d, 0.2)
 
 
+@query("R3_vector_search_lsh", """
+WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q, embeddings d)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.9 QUALIFY rank <= 20""")
+def vector_lsh(spark, d):
+    """Every vector's near neighbours, itself among them, among all vectors of its model."""
+    e = table(spark, d, "embeddings").withColumn("model", F.concat(F.lit("d"), F.size("embedding").cast("string")))
+    docs_ = e.select(F.col("vec_id").alias("doc_id"), "embedding", "model")
+    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "model")
+    return lsh.vector_search_lsh(docs_, "doc_id", "embedding", asked, "query_id", "q", 20, threshold=0.9)
+
+
 @query("R4_rank_fusion", f"""
 WITH {DOCS}, {ENGLISH}, {bm25('a', 'docs', 20)}, {bm25('b', 'english', 20)},
 f AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score,
