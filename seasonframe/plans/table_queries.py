@@ -6,6 +6,7 @@ from ..common import work_dir
 from ..sources import documents as sd
 from ..sources import provider_json as pj
 from ..sources import tables as st
+from ..sources.bucket_store import BucketStore
 from .inputs import FACTS, FEED, SNAPSHOTS, STORED, facts, feed_docs, snapshots, stored_docs, table
 from .registry import query
 
@@ -70,6 +71,21 @@ def upsert(spark, d):
     return st.upsert(old, new.select("k", "s", "n"), ["k"])
 
 
+@query("S4_upsert_buckets", """
+SELECT o_orderkey AS k, CASE WHEN n IS NULL THEN o_orderstatus ELSE 'L' END AS s, coalesce(n, 0) AS n
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def upsert_buckets(spark, d):
+    """Orders as a stored table in buckets; lines arrive in two batches, the second one with late rows."""
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.lit(0).cast("bigint").alias("n"))
+    new = table(spark, d, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.lit("L").alias("s"), F.count(F.lit(1)).alias("n"))
+    store = BucketStore(spark, f"{work_dir(spark)}/orders", {"orders": old.schema}, ["k"], 8)
+    store.upsert("orders", 0, old)
+    store.upsert("orders", 1, new.select("k", "s", "n"), [F.col("n")])
+    store.upsert("orders", 2, old.where("k % 7 = 0"), [F.col("n")])
+    return store.read("orders")
+
+
 @query("S5_replace_partition", f"""
 WITH {FACTS} SELECT entity, game, season FROM facts WHERE season <> 1998 OR status = 'F'""")
 def replace(spark, d):

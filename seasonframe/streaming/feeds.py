@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import incremental as inc
+from ..sources.bucket_store import BUCKETS, KEEP, BucketStore
 
 
 def dedup_within_ttl(stream: DataFrame, id_col: str, ts: str, ttl: str = "15 minutes") -> DataFrame:
@@ -71,27 +72,32 @@ def classify_stream(stream: DataFrame, state_path: str, out_path: str, checkpoin
             .trigger(availableNow=True).start())
 
 
-def apply_stream(stream: DataFrame, store_path: str, checkpoint: str, to_batch, empty: inc.ReportStore) -> StreamingQuery:
-    """Apply document batches to a versioned store. `to_batch` turns a micro-batch into a ReportStore."""
+def document_store(spark: SparkSession, path: str, empty: inc.ReportStore, buckets: int = BUCKETS) -> BucketStore:
+    """The store's tables in buckets of the report, so that a report's rows of all tables lie in one bucket number."""
+    return BucketStore(spark, path, {n: getattr(empty, n).schema for n in inc.ReportStore._fields}, ["report_id"], buckets)
+
+
+def apply_stream(stream: DataFrame, store_path: str, checkpoint: str, to_batch, empty: inc.ReportStore,
+                 buckets: int = BUCKETS, keep: int = KEEP) -> StreamingQuery:
+    """Apply document batches to a store. `to_batch` turns a micro-batch into a ReportStore.
+
+    A batch reads and rewrites the buckets of its reports in all four tables and commits them with one manifest;
+    the last `keep` states of the store stay readable. Links and chunks of a batch belong to its reports."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parts = {}
-        for name in inc.ReportStore._fields:
-            stored = _read_before(spark, f"{store_path}/{name}", batch_id)
-            parts[name] = getattr(empty, name) if stored is None else stored
-        after = inc.apply_documents(inc.ReportStore(**parts), to_batch(batch))
-        for name in inc.ReportStore._fields:
-            getattr(after, name).write.mode("overwrite").parquet(_table(f"{store_path}/{name}", batch_id))
+        store = document_store(batch.sparkSession, store_path, empty, buckets)
+        incoming = to_batch(batch)
+        store.commit(batch_id, incoming.reports, lambda old: inc.apply_documents(inc.ReportStore(**old), incoming)._asdict())
+        store.vacuum(keep)
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def latest_store(spark: SparkSession, store_path: str) -> inc.ReportStore:
-    """Newest version of every table of the store."""
-    return inc.ReportStore(**{
-        name: _read_before(spark, f"{store_path}/{name}")
-        for name in inc.ReportStore._fields})
+def latest_store(spark: SparkSession, store_path: str, empty: inc.ReportStore, buckets: int = BUCKETS) -> inc.ReportStore:
+    """Every table of the store as its newest manifest has it."""
+    store = document_store(spark, store_path, empty, buckets)
+    entries = store.newest()
+    return inc.ReportStore(**{name: store.read(name, entries) for name in inc.ReportStore._fields})
 
 
 def state_change_stream(stream: DataFrame, state_path: str, out_path: str, checkpoint: str,

@@ -111,7 +111,7 @@ def test_apply_stream_equals_batch(spark, tmp_path):
     empty = to_store(spark.createDataFrame([], schema))
     stream = write_batches(spark, batches, schema, str(tmp_path / "in"))
     feeds.apply_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp"), to_store, empty).awaitTermination()
-    got = feeds.latest_store(spark, str(tmp_path / "store"))
+    got = feeds.latest_store(spark, str(tmp_path / "store"), empty)
     want = empty
     for data in batches:
         want = inc.apply_documents(want, to_store(spark.createDataFrame(data, schema)))
