@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..common import work_dir
 from ..operators import incremental as inc
 from ..streaming import feeds
+from ..streaming.stateful import claims, keyed_state, state_changes_stream
 from .inputs import FEED, STORED, feed_docs, stored_docs, table
 from .registry import query
 
@@ -128,6 +129,48 @@ def dedup_stream(spark, d):
     return spark.read.parquet(f"{path}/out").select("event_id", "user_id")
 
 
+def streamed(spark, path, parts, make, out):
+    """Feed frames as files, one run of the stream after each: every run goes on from the checkpoint of the one before."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        with keyed_state(spark):
+            run = (make(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+                   .trigger(availableNow=True).start(f"{path}/{out}"))
+        run.awaitTermination()
+    return spark.read.parquet(f"{path}/{out}")
+
+
+@query("T6_claims_with_ttl", """
+WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY user_id, ts),
+c AS (
+  SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
+  UNION ALL SELECT c.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = c.user_id AND e.ts >= c.ts + INTERVAL 36 HOUR) AS ts FROM c WHERE c.ts IS NOT NULL)
+SELECT e.user_id, e.event_id FROM c JOIN e ON c.user_id = e.user_id AND c.ts = e.ts""")
+def claims_with_ttl(spark, d):
+    """Users claimed by their events for 36 hours each; the claims of the first run hold in the second."""
+    events = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
+    found = streamed(spark, work_dir(spark), [events.where(~late), events.where(late)],
+                     lambda s: claims(s, ["user_id"], "ts", "36 hours", "40 days", ["event_id"]), "claims")
+    return found.select("user_id", "event_id")
+
+
+@query("T7_state_changes_stream", """
+WITH p AS (SELECT user_id, ts, event_type, value > 100 AS high, lag(event_type) OVER w AS pe, lag(value > 100) OVER w AS ph
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type, value > 100))
+SELECT user_id, ts, event_type, high, pe AS previous_event_type, ph AS previous_high FROM p WHERE pe IS NOT NULL AND (pe <> event_type OR ph <> high)""")
+def changes_stream(spark, d):
+    """The same changes from a stream that gets even events first, odd ones late, and a last time that settles all."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 100).alias("high"), "event_id")
+    last = spark.range(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"),
+                                 F.lit("end").alias("event_type"), F.lit(False).alias("high"))
+    parts = [*[e.where(F.col("event_id") % 2 == odd).drop("event_id") for odd in (0, 1)], last]
+    return streamed(spark, work_dir(spark), parts,
+                    lambda s: state_changes_stream(s, ["user_id"], "ts", ["event_type", "high"], "60 days"), "changes").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("T7_state_changes", """
 WITH p AS (SELECT user_id, ts, event_id, event_type, value > 100 AS high, lag(event_type) OVER w AS pe, lag(value > 100) OVER w AS ph
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
