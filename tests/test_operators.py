@@ -306,11 +306,28 @@ def test_every_ambiguous_reference_lists_its_candidates(spark):
     resolved, candidates = nm.resolve_references(refs, catalog)
     assert sorted(rows(candidates.select("ref_id", "basis", "player_id"))) == [
         (1, "exact", "1"), (1, "exact", "2"), (2, "plain", "3"), (2, "plain", "4"),
-        (3, "surname", "5"), (3, "surname", "6"), (4, "partial", "5"), (4, "partial", "6")]
+        (3, "partial", "5"), (3, "partial", "6"), (4, "partial", "5"), (4, "partial", "6")]
     counts = {r.ref_id: r.n_candidates for r in resolved.filter("status = 'ambiguous'").collect()}
     assert counts == {1: 2, 2: 2, 3: 2, 4: 2}
 
 
+def test_references_by_a_part_of_a_name_and_any_uuid(spark):
+    catalog = spark.createDataFrame(
+        [("1", "Marquise Brown", "x"), ("2", "Zed Browning", "y"), ("3", "Jaxon Smith-Njigba", "x"), ("4", "Ann Lee", "y")],
+        "player_id string, display_name string, team string")
+    plain = "0000abcd-0000-4000-8000-00000000000f"
+    spelled = [plain.upper(), plain.replace("-", ""), "{" + plain + "}", "urn:uuid:" + plain, f"  {plain} "]
+    refs = spark.createDataFrame(
+        [(1, "Zeke Brown"), (2, "Jason Smith"), (3, "Bob Lee Jr."), (4, "Bob Leeds"), *[(10 + i, u) for i, u in enumerate(spelled)], (20, plain[:-1])],
+        "ref_id long, name string")
+    resolved, candidates = nm.resolve_references(refs, catalog)
+    got = {r.ref_id: (r.status, r.basis, r.player_id) for r in resolved.collect()}
+    assert got == {
+        1: ("ambiguous", "partial", None), 2: ("resolved", "partial", "3"), 3: ("resolved", "partial", "4"), 4: ("not_found", None, None),
+        **{10 + i: ("resolved", "uuid", plain) for i in range(len(spelled))}, 20: ("not_found", None, None)}
+    assert sorted(rows(candidates.select("ref_id", "player_id"))) == [(1, "1"), (1, "2")]
+
+
 def test_references_of_one_and_two_letters_match_by_contains(spark):
     catalog = spark.createDataFrame(
         [("1", "Al Bo", "x"), ("2", "Bo Cy", "y"), ("3", "Q", "x"), ("4", "Xi", "x")], "player_id string, display_name string, team string")
