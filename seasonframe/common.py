@@ -100,6 +100,36 @@ def assert_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return grouped.filter(checked).select(*keys, "_row.*").select(df.columns)
 
 
+# A key is heavy when it holds more than this share of what a shuffle partition would hold on average.
+HEAVY_SHARE = 4
+
+
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, heavy: bool = False) -> DataFrame:
+    """`left.join(right, key, "left")` in which rows without a key, and rows of heavy keys, go to all tasks.
+
+    `right` has one row per key. Rows with a null key match nothing, so they are dealt by a running number instead of
+    meeting in one partition. With `heavy`, keys are counted first (combined before the shuffle), and those with more
+    than a quarter of an average partition, at most four times as many as there are partitions and so small enough to
+    broadcast, are dealt too; their right rows are copied to every place. Without it, adaptive execution splits them.
+    """
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # More places than partitions, so that their hashes fill partitions evenly.
+    place = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n * width))
+    right = right.where(F.col(key).isNotNull())
+    if not heavy:
+        dealt = left.withColumn("_place", F.when(F.col(key).isNull(), place(64)).otherwise(0))
+        # Exploded, since a plain constant would be taken out of the join's keys.
+        at_zero = right.withColumn("_place", F.explode(F.array(F.lit(0).cast("long"))))
+        return dealt.join(at_zero, [key, "_place"], "left").drop("_place")
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
+    hot = F.broadcast(counts.where(F.col("_n") * (HEAVY_SHARE * width) > total).select(key, F.lit(True).alias("_hot")))
+    dealt = left.join(hot, key, "left").withColumn("_place", F.when(F.col(key).isNull(), place(64)).when(F.col("_hot"), place(4)).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(4 * width - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    copied = right.join(hot, key, "left").withColumn("_place", F.explode(every)).drop("_hot")
+    return dealt.join(copied, [key, "_place"], "left").drop("_place")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """First row per key by a total order, as a map-side combinable aggregate (no window)."""
     keep = keep or [c for c in df.columns if c not in keys]

@@ -288,6 +288,11 @@ def store_status(reports: DataFrame, chunks: DataFrame) -> DataFrame:
     return counted.withColumn("n_active", n_active)
 
 
+def completed_keys(runs: DataFrame, by: str) -> DataFrame:
+    """The keys of a backfill that a succeeded run has completed, one row each: what a restart leaves out."""
+    return runs.filter((F.col("status") == "succeeded") & F.col("run_key").isNotNull()).select(by, "run_key").distinct()
+
+
 def backfill_progress(runs: DataFrame, by: str) -> DataFrame:
     """Per backfill: sums over succeeded and partial runs, completed keys of succeeded ones.
 

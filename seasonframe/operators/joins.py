@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import all_of, assert_unique, first_by
+from ..common import all_of, assert_unique, first_by, left_join_spread
 from ..functions import scalars as S
 
 
@@ -22,19 +22,18 @@ def unique_ids(ids: DataFrame, key: str, id_col: str) -> DataFrame:
     return ids.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_col).alias(id_col))
 
 
-def attach_id(df: DataFrame, ids: DataFrame, key: str, id_col: str) -> Matched:
-    """Split rows into those whose key has an id and those without; null keys never match."""
-    joined = df.join(unique_ids(ids, key, id_col), key, "left")
+def attach_id(df: DataFrame, ids: DataFrame, key: str, id_col: str, heavy: bool = False) -> Matched:
+    """Split rows into those whose key has an id and those without; null keys never match, and spread over all tasks
+    (with `heavy` so do keys that hold a large share of the rows)."""
+    joined = left_join_spread(df, unique_ids(ids, key, id_col), key, heavy)
     return Matched(joined.filter(F.col(id_col).isNotNull()), joined.filter(F.col(id_col).isNull()))
 
 
-def attach_id_fallback(df: DataFrame, ids: DataFrame, key1: str, key2: str, id_col: str) -> Matched:
+def attach_id_fallback(df: DataFrame, ids: DataFrame, key1: str, key2: str, id_col: str, heavy: bool = False) -> Matched:
     """As `attach_id`, preferring the first key and using the second when it gives nothing."""
     by_second = unique_ids(ids, key2, id_col).withColumnRenamed(id_col, "_second")
-    joined = (
-        df.join(unique_ids(ids, key1, id_col), key1, "left").join(by_second, key2, "left")
-        .withColumn(id_col, F.coalesce(id_col, "_second")).drop("_second")
-    )
+    first = left_join_spread(df, unique_ids(ids, key1, id_col), key1, heavy)
+    joined = left_join_spread(first, by_second, key2, heavy).withColumn(id_col, F.coalesce(id_col, "_second")).drop("_second")
     return Matched(joined.filter(F.col(id_col).isNotNull()), joined.filter(F.col(id_col).isNull()))
 
 
@@ -292,8 +291,8 @@ def hydrate(ids: DataFrame, profiles: DataFrame, status: DataFrame, teams: DataF
     joined = ids.join(profiles, id_col, "left").join(status, id_col, "left")
     team_like = F.col(id_col).rlike("^[A-Z]{2,4}$") & F.col("display_name").isNull()
     code = F.when(team_like, F.col(id_col))
-    joined = joined.withColumn("_code", code).join(
-        teams.withColumnRenamed("code", "_code"), "_code", "left")
+    # Few ids are team codes: the others have none and spread over all tasks.
+    joined = left_join_spread(joined.withColumn("_code", code), teams.withColumnRenamed("code", "_code"), "_code")
     kind = (
         F.when(F.col("display_name").isNotNull(), "player")
         .when(F.col("team_name").isNotNull(), "team").otherwise("placeholder")

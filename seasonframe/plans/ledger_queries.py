@@ -94,11 +94,20 @@ SELECT backfill, sum(n_new)::BIGINT AS n_new, sum(n_changed)::BIGINT AS n_change
   count(DISTINCT CASE WHEN status = 'succeeded' THEN run_key END) AS n_completed, min(pinned_date) AS pinned_date
 FROM r WHERE status <> 'failed' GROUP BY backfill""")
 def backfill(spark, d):
-    runs = table(spark, d, "events").select(
+    return agg.backfill_progress(backfill_runs(spark, d), "backfill")
+
+
+@query("A11_completed_keys", f"""
+SELECT DISTINCT user_id AS backfill, {K_SQL} AS run_key FROM events WHERE {RUN_STATUS} = 'succeeded'""")
+def completed(spark, d):
+    return agg.completed_keys(backfill_runs(spark, d), "backfill")
+
+
+def backfill_runs(spark, d):
+    return table(spark, d, "events").select(
         F.col("user_id").alias("backfill"), F.expr(RUN_STATUS).alias("status"), k().alias("run_key"),
         F.floor("value").alias("n_new"), (F.col("event_id") % 7).alias("n_changed"),
         F.to_date(F.date_trunc("month", "ts")).alias("pinned_date"))
-    return agg.backfill_progress(runs, "backfill")
 
 
 @query("A18_report_contract", f"""
