@@ -174,6 +174,48 @@ def test_edit_candidates_finds_every_pair(spark):
     assert set(rows(out.select("key", "alias", "distance"))) == want
 
 
+def nearest_by_hand(keys, names, k):
+    out = set()
+    for key in keys:
+        best = {}
+        for alias, code in names:
+            d = edit_distance(key, alias)
+            if d <= max(2, len(key) // 3):
+                best[code] = min(d, best.get(code, d))
+        ranked = sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]
+        out |= {(key, code, d, i) for i, (code, d) in enumerate(ranked, 1)}
+    return out
+
+
+def test_nearest_codes_against_all_pairs(spark):
+    """Lengths on both sides of the pattern limit, empty keys and aliases, codes with many aliases, ties by code."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(0, 13)))
+    keys = sorted({word() for _ in range(120)} | {"", "a", "ab"})
+    names = sorted({(word(), f"c{rng.randrange(40):02d}") for _ in range(150)} | {("", "c09"), ("ab", "c01"), ("ab", "c02")})
+    l, r = spark.createDataFrame([(x,) for x in [*keys, None]], "key string"), spark.createDataFrame(names, "alias string, code string")
+    for k in (1, 3):
+        got = rows(nm.nearest_codes(l, "key", r, "alias", "code", k).select("key", "code", "distance", "place"))
+        assert len(got) == len(set(got)) and set(got) == nearest_by_hand(keys, names, k)
+    nothing = nm.nearest_codes(l, "key", r.limit(0), "alias", "code", 3)
+    assert nothing.count() == 0 and nm.nearest_codes(l.limit(0), "key", r, "alias", "code", 3).count() == 0
+
+
+def test_short_texts_do_not_meet_all_short_aliases(spark):
+    """Two-letter texts are within two edits of every two-letter alias; the join writes the same rows for 25 and 600."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    two = [a + b for a in letters for b in letters]
+    keys = [a + b for a in "01234567" for b in "01234567"]
+    l = spark.createDataFrame([(x,) for x in keys], "key string")
+    for n in (25, 600):
+        names = [(x, f"c{i:03d}") for i, x in enumerate(two[:n])]
+        r = spark.createDataFrame(names, "alias string, code string")
+        # No letter in common: only the pattern of two blanks, and three codes for it.
+        assert nm.pattern_candidates(l, "key", r, "alias", "code", 2, 3).count() == 3 * len(keys)
+        got = rows(nm.nearest_codes(l, "key", r, "alias", "code", 3).select("key", "code", "distance", "place"))
+        assert set(got) == {(x, f"c{i:03d}", 2, i + 1) for x in keys for i in range(3)}
+
+
 def test_state_changes_across_buckets(spark):
     rng = random.Random(6)
     data = sorted({(rng.choice(["hot"] * 4 + ["b"]), rng.randrange(10**6)): rng.choice(["x", "y", None]) for _ in range(300)}.items())
