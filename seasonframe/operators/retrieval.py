@@ -72,17 +72,9 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 _DOCUMENT = ""
 
 
-def keyword_lists(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame, query_id: str, text: str,
-                  k: int, lists: dict[str, Column | None], tie: Column | None = None) -> dict[str, DataFrame]:
-    """BM25 over weighted fields, terms joined by OR: for every list the best k of its documents per query.
-
-    A list is a condition on documents (None: all of them). Documents are tokenised once for all lists: they
-    become (document, term) rows with the field-weighted term count, keeping terms that some query uses and one
-    row per document that carries its length. A document is one row of one task, so counting is done before
-    the one shuffle of these postings; term frequencies, the number of documents and their mean length are
-    aggregates of the same postings. A document is never compared with a query it shares no term with. Sizes
-    decide about broadcasts and skew at run time; nothing runs while the plan is built.
-    """
+def _postings(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame, query_id: str, text: str,
+              lists: dict[str, Column | None], tie: Column | None) -> tuple[DataFrame, DataFrame]:
+    """The postings of `keyword_lists`, and the (query, term) rows that ask for them."""
     tokenised = docs.select(
         F.col(doc_id), *([tie.alias("_tie")] if tie is not None else []),
         *[F.lit(True).alias(f"_in_{n}") if c is None else F.coalesce(c, F.lit(False)).alias(f"_in_{n}") for n, c in lists.items()],
@@ -103,28 +95,49 @@ def keyword_lists(docs: DataFrame, doc_id: str, fields: dict[str, Column], queri
     used = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(_DOCUMENT).alias("term"))).distinct()
     postings = rows.select(doc_id, *carried, "term", weight.alias("w")).join(used, "term", "left_semi").groupBy("term", doc_id).agg(
         F.sum("w").alias("tf"), *[F.max(c).alias(c) for c in carried])
+    return postings, terms
+
+
+def keyword_lists(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame, query_id: str, text: str,
+                  k: int, lists: dict[str, Column | None], tie: Column | None = None) -> dict[str, DataFrame]:
+    """BM25 over weighted fields, terms joined by OR: for every list the best k of its documents per query.
+
+    A list is a condition on documents (None: all of them). Documents are tokenised once for all lists: they
+    become (document, term) rows with the field-weighted term count, keeping terms that some query uses and one
+    row per document that carries its length. A document is one row of one task, so counting is done before
+    the one shuffle of these postings; term frequencies, the number of documents and their mean length are
+    aggregates of the same postings. A document is never compared with a query it shares no term with. Sizes
+    decide about broadcasts and skew at run time; nothing runs while the plan is built.
+    """
+    postings, terms = _postings(docs, doc_id, fields, queries, query_id, text, lists, tie)
     return {name: _best(postings.filter(f"_in_{name}"), terms, doc_id, query_id, k, tie is not None) for name in lists}
 
 
-def _best(postings: DataFrame, terms: DataFrame, doc_id: str, query_id: str, k: int, tied: bool) -> DataFrame:
+def _weighted(postings: DataFrame, terms: DataFrame, query_id: str, bounds: bool = False) -> tuple[DataFrame, DataFrame, Column]:
+    """Postings of words, the terms' weights per query, and what one posting adds to a score.
+
+    With `bounds`, weights also carry the term's documents (`df`) and the most that it adds to one of them (`bound`).
+    """
     documents = postings.filter(F.col("term") == _DOCUMENT)
     stats = documents.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     words = postings.filter(F.col("term") != _DOCUMENT)
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = terms.join(frequency, "term").select(
-        query_id, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / avg_len))
+    damped = tf + K1 * (1 - B + B * F.col("_len") / avg_len)
+    frequency = words.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), *([F.max(tf * (K1 + 1) / damped).alias("_top")] if bounds else []))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.join(frequency, "term").select(
+        query_id, "term", idf.alias("idf"), *(["df", (idf * F.col("_top")).alias("bound")] if bounds else []))
+    return words, weights, F.col("idf") * tf * (K1 + 1) / damped
+
+
+def _best(postings: DataFrame, terms: DataFrame, doc_id: str, query_id: str, k: int, tied: bool) -> DataFrame:
+    words, weights, part = _weighted(postings, terms, query_id)
     extra = ["_tie"] if tied else []
     scored = words.join(weights, "term").groupBy(query_id, doc_id).agg(
         F.round(F.sum(part), 6).alias("score"), *[F.max(c).alias(c) for c in extra])
-    best = Window.partitionBy(query_id).orderBy(
-        F.col("score").desc(), *[F.col(c).desc() for c in extra], F.col(doc_id).asc())
-    return (
-        scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .select(query_id, doc_id, "score", F.col("rank").cast("bigint").alias("rank"))
-    )
+    return _first_k(scored, doc_id, query_id, k, extra)
 
 
 def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame,
@@ -133,6 +146,84 @@ def keyword_search(docs: DataFrame, doc_id: str, fields: dict[str, Column], quer
     return keyword_lists(docs, doc_id, fields, queries, query_id, text, k, {"all": None}, tie)["all"]
 
 
+# What rounding a score to six digits may add to it, and the share of a query's postings that its first terms may hold.
+ROUNDING, SEED_SHARE = 1e-6, 4
+
+
+def split_terms(words: DataFrame, weights: DataFrame, part: Column, doc_id: str, query_id: str, k: int) -> DataFrame:
+    """The weights, each with `_floor`, `_rest` and `needed`.
+
+    `_floor` is a score that k documents have; null where fewer match. It comes from the terms of the greatest possible
+    contributions that hold about a quarter of a query's postings: the best k documents by these terms alone are
+    scored in full. Terms from the least possible contribution on, as long as all of them together stay below the
+    floor, are not needed: a document with no other term is none of the best k. `_rest` is what they can add.
+    """
+    # A window over the terms of one query.
+    rising = Window.partitionBy(query_id).orderBy("bound", "term")
+    falling = Window.partitionBy(query_id).orderBy(F.col("bound").desc(), F.col("term").desc())
+    placed = weights.withColumns({
+        "_up_to": F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, 0)),
+        "_before": F.coalesce(F.sum("df").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_all": F.sum("df").over(Window.partitionBy(query_id))})
+    first = placed.filter(F.col("_before") * SEED_SHARE < F.col("_all")).select(weights.columns)
+    by_first = words.join(first, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("_sum"))
+    best = Window.partitionBy(query_id).orderBy(F.col("_sum").desc(), doc_id)
+    seeds = by_first.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).select(query_id, doc_id)
+    scores = parts_of(seeds, words, weights, part, doc_id, query_id).groupBy(query_id, doc_id).agg(F.sum("_sum").alias("_sum"))
+    floors = scores.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"), F.min("_sum").alias("_least")).select(
+        query_id, F.when(F.col("_n") == k, F.col("_least")).alias("_floor"))
+    needed = F.col("_floor").isNull() | (F.col("_up_to") + ROUNDING >= F.col("_floor"))
+    marked = null_safe_join(placed, floors, [query_id], "left").withColumn("needed", needed)
+    rest = F.coalesce(F.max(F.when(~F.col("needed"), F.col("_up_to"))).over(Window.partitionBy(query_id)), F.lit(0.0))
+    return marked.withColumn("_rest", rest).select(*weights.columns, "_floor", "_rest", "needed")
+
+
+def parts_of(pairs: DataFrame, words: DataFrame, weights: DataFrame, part: Column, doc_id: str, query_id: str) -> DataFrame:
+    """What every term adds to the given (query, document) rows: postings are met by term and document."""
+    asked = null_safe_join(pairs.select(query_id, doc_id), weights.select(query_id, "term", "idf"), [query_id])
+    return null_safe_join(words, asked, ["term", doc_id]).select(query_id, doc_id, part.alias("_sum"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of equal names in which null equals null, as it does in grouping."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    return left.join(renamed, all_of([F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]), how).drop(*[f"_r_{c}" for c in on])
+
+
+def keyword_search_bounded(docs: DataFrame, doc_id: str, fields: dict[str, Column], queries: DataFrame,
+                           query_id: str, text: str, k: int, tie: Column | None = None) -> DataFrame:
+    """The rows of `keyword_search`, without joining the frequent terms' postings to every query that names them.
+
+    Only postings of the terms that `split_terms` marks as needed meet queries by term. Documents that cannot reach
+    the floor with all that the other terms can add are dropped; for the rest, the other terms' postings are looked up
+    by term and document, a key that no frequent term makes heavy. For long queries over many documents; the floor
+    costs one more join of the rarest terms.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    postings, terms = _postings(docs, doc_id, fields, queries, query_id, text, {"all": None}, tie)
+    words, weights, part = _weighted(postings, terms, query_id, bounds=True)
+    split = split_terms(words, weights, part, doc_id, query_id, k)
+    extra = [] if tie is None else ["_tie"]
+    found = words.join(split.filter("needed"), "term").groupBy(query_id, doc_id).agg(
+        F.sum(part).alias("_sum"), F.max("_floor").alias("_floor"), F.max("_rest").alias("_rest"), *[F.max(c).alias(c) for c in extra])
+    open_ = found.filter(F.col("_floor").isNull() | (F.col("_sum") + F.col("_rest") + ROUNDING >= F.col("_floor"))).select(
+        query_id, doc_id, "_sum", *extra)
+    others = parts_of(open_, words, split.filter(~F.col("needed")), part, doc_id, query_id)
+    scored = open_.unionByName(others, allowMissingColumns=True).groupBy(query_id, doc_id).agg(
+        F.round(F.sum("_sum"), 6).alias("score"), *[F.max(c).alias(c) for c in extra])
+    return _first_k(scored, doc_id, query_id, k, extra)
+
+
+def _first_k(scored: DataFrame, doc_id: str, query_id: str, k: int, extra: list[str]) -> DataFrame:
+    best = Window.partitionBy(query_id).orderBy(
+        F.col("score").desc(), *[F.col(c).desc() for c in extra], F.col(doc_id).asc())
+    return (
+        scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        .select(query_id, doc_id, "score", F.col("rank").cast("bigint").alias("rank"))
+    )
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two float arrays in double."""
     products = F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double"))

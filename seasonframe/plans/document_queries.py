@@ -80,6 +80,12 @@ def keyword(spark, d):
     return hits(spark, d, 10)
 
 
+@query("R2_keyword_search_bounded", f"WITH {DOCS}, {bm25('a', 'docs', 10)} SELECT * FROM a")
+def keyword_bounded(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return rt.keyword_search_bounded(docs(spark, d), "doc_id", {"title": F.col("source"), "content": F.col("text")}, q, "query_id", "q", 10)
+
+
 CENTROIDS = """parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
 dims AS (SELECT label, i, avg(v) AS v FROM parts GROUP BY label, i),
 centroids AS (SELECT label AS query_id, list(v ORDER BY i) AS q FROM dims GROUP BY label),

@@ -451,6 +451,40 @@ def test_keyword_lists_share_one_pass_and_any_split(spark):
     assert plan.count("regexp_extract_all(lower(text") <= 1 + plan.count("ReusedExchange")
 
 
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_bounded_keyword_search_gives_the_same_rows(spark, k):
+    """Frequent and rare words, equal documents, empty and null texts, a null id, queries of unknown words."""
+    from seasonframe.operators import retrieval as rt
+
+    rng = random.Random(21)
+    words = ["run", "pass", "goal"] * 8 + [f"w{i}" for i in range(40)] + [f"rare{i}" for i in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    data = [(i, "run" if i % 3 else None, text(30)) for i in range(400)] + [(1000 + i, "run", "run pass w1 w2") for i in range(9)]
+    data += [(2000, None, None), (2001, "", ""), (None, "goal", "run rare1 rare2 w3")]
+    docs = spark.createDataFrame(data, "id long, title string, body string")
+    asked = [(i, text(12)) for i in range(25)] + [(90, "run pass w1 w2"), (91, "unknown"), (92, ""), (93, None), (None, "rare1 run"), (94, "run run the")]
+    queries = spark.createDataFrame(asked, "q long, text string")
+    fields = {"title": F.col("title"), "content": F.col("body")}
+    for tie in (None, F.col("id") % 5):
+        plain, bounded = (f(docs, "id", fields, queries, "q", "text", k, tie) for f in (rt.keyword_search, rt.keyword_search_bounded))
+        got = sorted(map(str, bounded.collect()))
+        assert got == sorted(map(str, plain.collect())) and len(got) > 20
+    assert rt.keyword_search_bounded(docs.limit(0), "id", fields, queries, "q", "text", k).count() == 0
+    assert rt.keyword_search_bounded(docs, "id", fields, queries.limit(0), "q", "text", k).count() == 0
+
+
+def test_bounded_keyword_search_joins_fewer_postings(spark):
+    from seasonframe.operators import retrieval as rt
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    queries = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    postings, terms = rt._postings(docs, "doc_id", {"content": F.col("text")}, queries, "item_id", "text", {"all": None}, None)
+    words, weights, part = rt._weighted(postings, terms, "item_id", bounds=True)
+    split = rt.split_terms(words, weights, part, "doc_id", "item_id", 5)
+    joined = {r["needed"]: r["n"] for r in split.groupBy("needed").agg(F.sum("df").alias("n")).collect()}
+    assert 0 < joined[True] < sum(joined.values()) / 2
+
+
 def test_rolling_quota_at_the_edges_of_the_day(spark):
     from seasonframe.operators.aggregates import rolling_quota
 
