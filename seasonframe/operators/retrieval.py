@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import all_of
+from ..common import all_of, work_dir
 
 # Words a keyword query drops unless nothing else is left, and BM25 field weights.
 STOP_WORDS = [
@@ -197,17 +197,22 @@ def keyword_search_bounded(docs: DataFrame, doc_id: str, fields: dict[str, Colum
     Only postings of the terms that `split_terms` marks as needed meet queries by term. Documents that cannot reach
     the floor with all that the other terms can add are dropped; for the rest, the other terms' postings are looked up
     by term and document, a key that no frequent term makes heavy. For long queries over many documents; the floor
-    costs one more join of the rarest terms.
+    costs one more join of the rarest terms. Postings are written to the shared folder when the plan is built.
     """
     if k < 1:
         raise ValueError("k must be positive")
     postings, terms = _postings(docs, doc_id, fields, queries, query_id, text, {"all": None}, tie)
-    words, weights, part = _weighted(postings, terms, query_id, bounds=True)
+    # Read five times below, so the texts are tokenised and counted once for all of them.
+    folder = f"{work_dir(docs.sparkSession)}/postings"
+    postings.drop("_in_all").write.parquet(folder)
+    words, weights, part = _weighted(docs.sparkSession.read.parquet(folder), terms, query_id, bounds=True)
     split = split_terms(words, weights, part, doc_id, query_id, k)
     extra = [] if tie is None else ["_tie"]
-    found = words.join(split.filter("needed"), "term").groupBy(query_id, doc_id).agg(
-        F.sum(part).alias("_sum"), F.max("_floor").alias("_floor"), F.max("_rest").alias("_rest"), *[F.max(c).alias(c) for c in extra])
-    open_ = found.filter(F.col("_floor").isNull() | (F.col("_sum") + F.col("_rest") + ROUNDING >= F.col("_floor"))).select(
+    found = words.join(split.filter("needed").select(query_id, "term", "idf"), "term").groupBy(query_id, doc_id).agg(
+        F.sum(part).alias("_sum"), *[F.max(c).alias(c) for c in extra])
+    limits = split.select(query_id, "_floor", "_rest").distinct()
+    open_ = null_safe_join(found, limits, [query_id]).filter(
+        F.col("_floor").isNull() | (F.col("_sum") + F.col("_rest") + ROUNDING >= F.col("_floor"))).select(
         query_id, doc_id, "_sum", *extra)
     others = parts_of(open_, words, split.filter(~F.col("needed")), part, doc_id, query_id)
     scored = open_.unionByName(others, allowMissingColumns=True).groupBy(query_id, doc_id).agg(
