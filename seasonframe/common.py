@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 def require_columns(df: DataFrame, *cols: str) -> None:
     """Fail at plan time when a named column is missing."""
@@ -130,18 +132,69 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str, heavy: bool =
     return dealt.join(copied, [key, "_place"], "left").drop("_place")
 
 
+# Whole-number types: their decimal places as Spark has them, and their smallest value.
+_WHOLE = {"boolean": (3, -1), "tinyint": (3, -(1 << 7)), "smallint": (5, -(1 << 15)), "int": (10, -(1 << 31)),
+          "date": (10, -(1 << 31)), "bigint": (20, -(1 << 63)), "timestamp": (20, -(1 << 63))}
+
+
+def packed_order(df: DataFrame, order: list[Column]) -> Column | None:
+    """The order columns as one number that sorts as the struct of them does, nulls first.
+
+    A column becomes a digit whose base is one more than the number of values of its type (null is the one below them).
+    Spark keeps a number of 38 places in its buffer, so its minimum and maximum are hash aggregates, where a struct's
+    are sorted; a number of up to 63 bits is a bigint. None when a column is no whole number, date, time or decimal, or
+    when the digits need more than 38 places.
+    """
+    digits, room = [], 1
+    for field, column in zip(df.select(*order).schema.fields, order, strict=True):
+        kind, name = field.dataType, field.dataType.simpleString()
+        if isinstance(kind, T.DecimalType):
+            places, low = kind.precision + 1, -(10 ** kind.precision) + 1
+            value = column if kind.scale == 0 else column * F.lit(10 ** kind.scale)
+        elif name in _WHOLE:
+            places, low = _WHOLE[name]
+            numbers = {"date": F.unix_date, "timestamp": F.unix_micros, "boolean": lambda c: c.cast("int")}
+            value = numbers[name](column) if name in numbers else column
+        else:
+            return None
+        base = 2 - 2 * low
+        room *= base
+        digits.append((value, places, low - 1, base))
+    if room >= 10 ** 38:
+        return None
+    packed = None
+    for value, places, missing, base in digits:
+        kind = T.LongType() if room < 1 << 63 else T.DecimalType(min(places, 38), 0)
+        constant = lambda n: F.lit(str(n)).cast(T.LongType() if room < 1 << 63 else T.DecimalType(len(str(n)), 0))
+        digit = F.coalesce(value.cast(kind), constant(missing))
+        packed = digit if packed is None else packed * constant(base) + digit
+    return packed
+
+
+def _in_place(df: DataFrame, names: list[str]) -> bool:
+    """Whether an aggregate can hold these columns in a buffer of fixed width."""
+    fixed = (*_WHOLE, "float", "double")
+    return all(df.schema[c].dataType.simpleString() in fixed or isinstance(df.schema[c].dataType, T.DecimalType) for c in names)
+
+
+def _pick_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None, pick) -> DataFrame:
+    """One row per key. When order and kept columns have a fixed width each column is picked by the same packed
+    number, so all come from one row and the aggregate hashes; else the row is picked as a struct."""
+    keep = keep or [c for c in df.columns if c not in keys]
+    at = packed_order(df, order) if _in_place(df, keep) else None
+    if at is None:
+        return df.groupBy(*keys).agg(pick(F.struct(*keep), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
+    return df.withColumn("_at", at).groupBy(*keys).agg(*[pick(F.col(c), F.col("_at")).alias(c) for c in keep])
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """First row per key by a total order, as a map-side combinable aggregate (no window)."""
-    keep = keep or [c for c in df.columns if c not in keys]
-    picked = F.min_by(F.struct(*keep), F.struct(*order))
-    return df.groupBy(*keys).agg(picked.alias("_row")).select(*keys, "_row.*")
+    return _pick_by(df, keys, order, keep, F.min_by)
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """Last row per key by a total order, as a map-side combinable aggregate."""
-    keep = keep or [c for c in df.columns if c not in keys]
-    picked = F.max_by(F.struct(*keep), F.struct(*order))
-    return df.groupBy(*keys).agg(picked.alias("_row")).select(*keys, "_row.*")
+    return _pick_by(df, keys, order, keep, F.max_by)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

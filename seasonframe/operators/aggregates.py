@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import assert_unique  # noqa: F401  part of this module's interface
+from ..common import assert_unique, packed_order  # noqa: F401  assert_unique is part of this module's interface
 from ..functions.formulas import compile_formula
 from ..functions.scalars import literal_map, ratio
 from .joins import mirror_opponent
@@ -24,28 +24,46 @@ def season_totals(df: DataFrame, keys: list[str], order: list[str], game: str,
 
     A sum over nothing but nulls is 0; `null_unless` {total: count} makes a total null when the
     count is not positive; `weighted` {name: (value, weight)} adds sum(v*w)/sum(w).
+
+    The frame is read once and grouped in two ways by one aggregate: per game the sums, and per combination of the
+    attributes the first and last place in the order. A key then meets only its games' partial sums, added up before
+    the shuffle, and as many places as it has combinations; of rows tied in the order the largest attributes are last.
     """
-    aggs = [F.count_distinct(game).alias("games")]
-    aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in additive]
-    latest = F.max_by(F.struct(*last), F.struct(*order)).alias("_last")
-    for name, (value, weight) in (weighted or {}).items():
-        aggs.append(weighted_mean(F.col(value), F.col(weight)).alias(name))
-    totals = df.groupBy(*keys).agg(*aggs, latest)
-    totals = totals.select(
-        *[c for c in totals.columns if c != "_last"],
-        *[F.col(f"_last.{c}").alias(f"last_{c}") for c in last],
-    )
+    products = {f"_{n}": F.col(v) * F.col(w) for n, (v, w) in (weighted or {}).items()}
+    weights = {f"_{n}_weight": F.col(w) for n, (_, w) in (weighted or {}).items()}
+    at = packed_order(df, [F.col(c) for c in order])
+    rows = df.withColumns({"_at": F.struct(*order) if at is None else at, "_game": F.col(game), **products, **weights})
+    summed = list(dict.fromkeys([*additive, *products, *weights]))
+    # Each row twice: once with its game and values, once with its attributes and place; what is null is not added up.
+    values = {f"_sum_{c}": F.col(c) for c in summed} | {"_game": F.col("_game")}
+    places = {f"_{i}": F.col(c) for i, c in enumerate([distinct_list, *last])} | {"_at": F.col("_at")}
+    empty = {n: F.lit(None).cast(f.dataType) for n, f in zip([*values, *places], rows.select(*values.values(), *places.values()).schema.fields, strict=True)}
+
+    def half(own: bool, filled: Mapping[str, Column]) -> Column:
+        return F.struct(F.lit(own).alias("_per_game"), *[filled.get(n, none).alias(n) for n, none in empty.items()])
+
+    named = [f"_{i}" for i in range(len(last) + 1)]
+    parts = rows.select(*keys, F.inline(F.array(half(True, values), half(False, places)))).groupBy(*keys, "_per_game", "_game", *named).agg(
+        F.min("_at").alias("_first"), F.max("_at").alias("_final"), *[F.sum(f"_sum_{c}").alias(f"_sum_{c}") for c in summed])
+    own = F.col("_per_game")
+    places = F.struct("_first", "_final", *named)
+    totals = parts.groupBy(*keys).agg(
+        F.count(F.when(own, F.col("_game"))).alias("games"),
+        *[F.sum(F.when(own, F.col(f"_sum_{c}"))).alias(f"_sum_{c}") for c in summed],
+        F.collect_list(F.when(~own, places)).alias("_places"))
+    newest = F.array_max(F.transform("_places", lambda x: F.struct(x["_final"], *[x[f"_{i + 1}"] for i in range(len(last))])))
+    # Sorted by the first place, so that a value stands where it was first seen.
+    listed = F.array_distinct(F.transform(F.array_sort("_places"), lambda x: x["_0"]))
+    means = {n: F.try_divide(F.col(f"_sum__{n}").cast("double"), F.nullif(F.col(f"_sum__{n}_weight"), F.lit(0)).cast("double"))
+             for n in (weighted or {})}
+    totals = totals.withColumn("_last", newest).select(
+        *keys, "games", *[F.coalesce(F.col(f"_sum_{c}"), F.lit(0)).alias(c) for c in additive],
+        *[m.alias(n) for n, m in means.items()],
+        *[F.col("_last").getField(f"_{i + 1}").alias(f"last_{c}") for i, c in enumerate(last)],
+        listed.alias(f"{distinct_list}s"))
     gated = {c: F.when(F.col(n) > 0, F.col(c)) for c, n in (null_unless or {}).items()}
     totals = totals.withColumns(gated) if gated else totals
-    for c, digits in (rounded or {}).items():
-        totals = totals.withColumn(c, F.bround(c, digits))
-    # First appearance per distinct value, so that the list never holds more than the distinct values.
-    seen = df.groupBy(*keys, distinct_list).agg(F.min(F.struct(*order)).alias("_first"))
-    lists = seen.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_first", distinct_list))).alias("_seen"))
-    lists = lists.select(
-        *keys, F.transform("_seen", lambda x: x[distinct_list]).alias(f"{distinct_list}s"))
-    return totals.join(lists, keys)
+    return totals.withColumns({c: F.bround(c, digits) for c, digits in (rounded or {}).items()}) if rounded else totals
 
 
 def with_ratios(df: DataFrame, ratios: Mapping[str, tuple[str, str, float]]) -> DataFrame:

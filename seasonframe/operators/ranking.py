@@ -95,24 +95,24 @@ def expected_vs_actual(ranks: DataFrame, results: DataFrame, id_col: str, group_
                        rank_col: str, position_rank_col: str, points: str, games: str) -> DataFrame:
     """Every ranked entity with its actual finish; no result means 0 games and 0 points.
 
-    Finishes rank the union of results and ranked entities, overall and per group.
+    Finishes rank the union of results and ranked entities, overall and per group. That union is one full join, which
+    carries what the result needs, so neither input is joined again; both hold an id once.
     """
-    actual = results.select(id_col, F.col(group_col).alias("_g"), F.coalesce(points, F.lit(0)).alias("_p"))
-    missing = ranks.join(results.select(id_col), id_col, "left_anti").select(
-        id_col, F.col(group_col).alias("_g"), F.lit(0).alias("_p"))
-    pool = actual.unionByName(missing).withColumn("_g", F.coalesce("_g", F.lit("UNKNOWN")))
+    placed = ranks.select(id_col, F.struct(*ranks.columns).alias("_ranked"))
+    actual = results.select(id_col, F.struct(F.col(group_col).alias("g"), F.col(games).alias("n"), F.col(points).alias("p")).alias("_actual"))
+    group = F.when(F.col("_actual").isNotNull(), F.col("_actual.g")).otherwise(F.col(f"_ranked.{group_col}"))
+    pool = placed.join(actual, id_col, "full").select(
+        "_ranked", "_actual", F.coalesce(group, F.lit("UNKNOWN")).alias("_g"), F.coalesce("_actual.p", F.lit(0)).alias("_p"))
     finish = competition_ranks(
         pool, "_p", {"actual_overall_finish": [], "actual_position_finish": ["_g"]}, desc=True)
-    season = results.select(id_col, F.col(games).alias("_games"), F.col(points).alias("_points"))
-    joined = ranks.join(finish.drop("_g", "_p"), id_col).join(season, id_col, "left")
-    n = F.coalesce("_games", F.lit(0))
-    total = F.coalesce("_points", F.lit(0)).cast("double")
-    return joined.select(
-        *ranks.columns, n.alias("games"), F.bround(total, 6).alias("points"),
-        ratio(total, n, digits=6).alias("points_per_game"),
-        "actual_overall_finish", "actual_position_finish",
-        F.bround(F.col(rank_col) - F.col("actual_overall_finish"), 6).alias("overall_rank_difference"),
-        (F.col(position_rank_col) - F.col("actual_position_finish")).alias("position_rank_difference"))
+    n = F.coalesce("_actual.n", F.lit(0))
+    total = F.coalesce("_actual.p", F.lit(0)).cast("double")
+    joined = finish.filter(F.col("_ranked").isNotNull()).select(
+        "_ranked.*", n.alias("games"), F.bround(total, 6).alias("points"),
+        ratio(total, n, digits=6).alias("points_per_game"), "actual_overall_finish", "actual_position_finish")
+    return joined.withColumns({
+        "overall_rank_difference": F.bround(F.col(rank_col) - F.col("actual_overall_finish"), 6),
+        "position_rank_difference": F.col(position_rank_col) - F.col("actual_position_finish")})
 
 
 OUTPERFORMER_SORTS = ["rank_difference", "expected_rank", "actual_finish", "points", "points_per_game"]

@@ -289,7 +289,7 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_quantity F
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_partkey) = 1""")
 def unique(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return sets.unique_on(li, ["l_orderkey", "l_linenumber"], [-F.col("l_quantity"), F.col("l_partkey")])
+    return sets.unique_on(li, ["l_orderkey", "l_linenumber"], [-money("l_quantity"), F.col("l_partkey")])
 
 
 @query("U3_intersect_ids", """
