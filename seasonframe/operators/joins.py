@@ -141,12 +141,20 @@ def latest_per_group(df: DataFrame, by: list[str], ts: str) -> DataFrame:
 
 
 def asof_snapshot(df: DataFrame, by: list[str], day: str, as_of: Column,
-                  strict: bool = False, same_year: bool = False) -> DataFrame:
-    """Rows of each group's newest snapshot not after (or strictly before) a date."""
+                  strict: bool = False, same_year: bool = False, dated: bool = False) -> DataFrame:
+    """Rows of each group's newest snapshot not after (or strictly before) a date.
+
+    `dated` is for a stored table in folders of `day`: the days some group needs (no more than the calendar has) are
+    found first, from `by` and `day` alone, and only their folders are read whole. Where `by` are folders too
+    (`write_snapshot` with `by`), finding them reads no column.
+    """
     usable = F.col(day) < as_of if strict else F.col(day) <= as_of
     if same_year:
         usable = usable & (F.year(day) == F.year(as_of))
     newest = df.filter(usable).groupBy(*by).agg(F.max(day).alias(day))
+    if dated:
+        # Groups without a name match nothing below, so their days are not wanted.
+        df = df.filter(F.array_contains(newest.dropna(subset=by).agg(F.collect_set(day).alias("d")).scalar(), F.col(day)))
     return df.join(newest, [*by, day])
 
 

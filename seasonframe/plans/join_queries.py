@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..common import work_dir
 from ..operators import joins as jn
 from ..operators import sets
 from ..operators.normalize import normalize_by_schema
+from ..sources.tables import write_snapshot
 from .inputs import FACTS, GROUPED, MATCHES, SNAPSHOTS, facts, matches, money, snapshots, table, with_group
 from .registry import query
 
@@ -124,6 +126,21 @@ def before_cutoff(spark, d):
     return jn.asof_snapshot(snaps, ["grp"], "day", cutoff, strict=True, same_year=True).select("player", "day", "total", "grp")
 
 
+@query("J7_asof_snapshot_dated", f"""
+WITH {SNAPSHOTS}, n AS (SELECT grp, max(day) AS day FROM snapshots WHERE day < DATE '2024-01-15' GROUP BY grp)
+SELECT player, day, total::DOUBLE AS total, grp FROM snapshots JOIN n USING (grp, day)""")
+def asof_dated(spark, d):
+    """Over a stored table in folders of group and day: only the folders of the days found are read whole."""
+    return jn.asof_snapshot(stored_snapshots(spark, d), ["grp"], "day", F.lit("2024-01-15").cast("date"), strict=True, dated=True).select(
+        "player", "day", "total", "grp")
+
+
+def stored_snapshots(spark, d):
+    path = f"{work_dir(spark)}/ranks"
+    write_snapshot(snapshots(spark, d).repartition("grp", "day"), path, "day", by=["grp"])
+    return spark.read.parquet(path)
+
+
 @query("J7_missing_pages", f"""
 WITH {SNAPSHOTS} SELECT c_custkey AS player FROM customer WHERE c_custkey NOT IN (
   SELECT player FROM snapshots WHERE day <= DATE '2024-01-02')""")

@@ -8,6 +8,7 @@ from ..sources import provider_json as pj
 from ..sources import tables as st
 from ..sources.bucket_store import BucketStore
 from .inputs import FACTS, FEED, SNAPSHOTS, STORED, facts, feed_docs, snapshots, stored_docs, table
+from .join_queries import stored_snapshots
 from .registry import query
 
 
@@ -44,6 +45,13 @@ def latest_by(spark, d):
     return st.latest_snapshot(snapshots(spark, d), "day", ["player"]).select("player", "day", "total")
 
 
+@query("S2_latest_snapshot_dated", f"""
+WITH {SNAPSHOTS} SELECT player, day, total::DOUBLE AS total, grp FROM snapshots s
+WHERE day = (SELECT max(day) FROM snapshots t WHERE t.grp = s.grp)""")
+def latest_dated(spark, d):
+    return st.latest_snapshot(stored_snapshots(spark, d), "day", ["grp"], dated=True).select("player", "day", "total", "grp")
+
+
 @query("S2_pinned_or_latest", f"""
 WITH {SNAPSHOTS} SELECT player, day, total::DOUBLE AS total FROM snapshots WHERE day = DATE '2024-01-10'""")
 def pinned(spark, d):

@@ -27,13 +27,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError(f"unsupported table format {suffix!r}")
 
 
-def latest_snapshot(df: DataFrame, date_col: str, by: list[str] | None = None) -> DataFrame:
+def latest_snapshot(df: DataFrame, date_col: str, by: list[str] | None = None, dated: bool = False) -> DataFrame:
     """All rows of the newest dated snapshot, overall or per group.
 
-    Overall, the newest date is a scalar subquery, which prunes a date-partitioned table.
+    Overall, the newest date is a scalar subquery, which prunes a date-partitioned table; per group `dated` says that
+    the table is one, and only folders of days that are some group's newest are read whole.
     """
     if by:
         newest = df.groupBy(*by).agg(F.max(date_col).alias(date_col))
+        if dated:
+            # Groups without a name match nothing below, so their days are not wanted.
+            df = df.filter(F.array_contains(newest.dropna(subset=by).agg(F.collect_set(date_col).alias("d")).scalar(), F.col(date_col)))
         return df.join(newest, [*by, date_col])
     return df.filter(F.col(date_col) == df.agg(F.max(date_col).alias("d")).scalar())
 
@@ -48,18 +52,21 @@ def pinned_or_latest(df: DataFrame, date_col: str, pointer: str | None) -> DataF
     return df.filter(F.col(date_col) == dates)
 
 
-def write_snapshot(df: DataFrame, path: str, date_col: str, historical: bool = False) -> None:
+def write_snapshot(df: DataFrame, path: str, date_col: str, historical: bool = False, by: list[str] | None = None) -> None:
     """Write dated partitions; a rerun replaces only its own days.
 
-    A historical snapshot never overwrites: it fails when one of its days is stored already.
+    A historical snapshot never overwrites: it fails when one of its days is stored already. With `by`, few-valued
+    columns such as a page or format, the days lie in folders of their own per group, and a rerun replaces the days of
+    its own groups.
     """
     if historical and _path_exists(df.sparkSession, path):
-        stored = df.sparkSession.read.parquet(path).select(F.col(date_col).cast("string").alias("_d")).distinct()
-        days = df.select(F.col(date_col).cast("string").alias("_d")).distinct()
-        if not days.join(stored, "_d", "left_semi").isEmpty():
+        names = [*(by or []), date_col]
+        key = F.struct(*[F.col(c).cast("string").alias(c) for c in names]).alias("_d")
+        stored = df.sparkSession.read.parquet(path).select(key).distinct()
+        if not df.select(key).distinct().join(stored, "_d", "left_semi").isEmpty():
             raise FileExistsError(f"{path} already holds a day of this snapshot")
     mode = "append" if historical else "overwrite"
-    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path))
+    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*(by or []), date_col).parquet(path))
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
