@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "season_queries", "ranking_queries", "join_queries", "scalar_queries", "roster_queries",
-    "ledger_queries", "document_queries", "name_queries", "feed_queries", "table_queries",
+    "ledger_queries", "document_queries", "name_queries", "feed_queries", "table_queries", "league_queries",
 ]
 
 
