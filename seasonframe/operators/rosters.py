@@ -115,23 +115,22 @@ def best_lineup(players: DataFrame, slots: DataFrame, by: list[str]) -> tuple[Da
         .groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("slot_type", "_room"))).alias("_rooms"))
     )
     free = candidates.filter(F.col("locked_slot").isNull() & F.col("usable")).join(room, by)
-    free = free.withColumn("_p", F.coalesce("points", F.lit(0)))
+    # Each row takes along the numbers it may need, not the map.
+    seats = lambda slot: F.coalesce(F.try_element_at("_rooms", slot), F.lit(0))
+    free = free.select(
+        *by, "player_id", "position", "points", F.coalesce("points", F.lit(0)).alias("_p"),
+        seats(F.col("position")).alias("_base"), *[seats(F.lit(s)).alias(f"_{s}") for s in FLEX_LEVELS])
     best_first = [F.col("_p").desc(), F.col("player_id").asc()]
-    left_over = F.col("slot_type").isNull()
-
-    def place(rows: DataFrame, level: Column, fits: Column, partition: list[str]) -> DataFrame:
-        waiting = left_over & fits
-        order = Window.partitionBy(*by, *partition).orderBy(waiting.desc(), *best_first)
-        chosen = waiting & (F.row_number().over(order) <= F.coalesce(F.try_element_at("_rooms", level), F.lit(0)))
-        return rows.withColumn("_new", chosen).withColumn(
-            "slot_type", F.when(F.col("_new"), level).otherwise(F.col("slot_type"))).drop("_new")
-
-    rows = free.withColumn("slot_type", F.lit(None).cast("string"))
-    rows = place(rows, F.col("position"), F.lit(True), ["position"])
+    rank = F.row_number().over(Window.partitionBy(*by, "position").orderBy(*best_first))
+    rows = free.withColumn("slot_type", F.when(rank <= F.col("_base"), F.col("position")))
+    # All levels count those who wait along one order of the roster, so one sort serves them.
+    so_far = Window.partitionBy(*by).orderBy(*best_first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for flex in FLEX_LEVELS:
-        rows = place(rows, F.lit(flex), F.col("position").isin(FLEX_ELIGIBILITY[flex]), [])
+        waiting = F.col("slot_type").isNull() & F.col("position").isin(FLEX_ELIGIBILITY[flex])
+        rows = rows.withColumn("_place", F.count(F.when(waiting, 1)).over(so_far)).withColumn(
+            "slot_type", F.when(waiting & (F.col("_place") <= F.col(f"_{flex}")), F.lit(flex)).otherwise(F.col("slot_type")))
     keep = [*by, "player_id", "position", "slot_type", "points"]
-    lineup = rows.filter(~left_over).select(*keep).unionByName(locked.select(*keep))
+    lineup = rows.filter(F.col("slot_type").isNotNull()).select(*keep).unionByName(locked.select(*keep))
     return lineup, overlapping
 
 
