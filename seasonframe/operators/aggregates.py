@@ -135,50 +135,66 @@ def threshold_analysis(facts: DataFrame, participation: DataFrame, entity: list[
                        threshold: float, basis: str) -> DataFrame:
     """Per entity: how often a weekly formula meets a threshold over the weeks of the basis.
 
-    facts: entity, period, attributes and formula inputs. participation: entity, period,
-    attributes, status. Each holds one row per entity and period, so every list below is bounded
-    by the calendar. A basis week without a fact row counts as zero production; null inputs and
-    zero denominators make the week undefined.
+    facts: entity, period, attributes and formula inputs. participation: entity, period, attributes, status. Each holds one
+    row per entity and period, so every list below is bounded by the calendar. A participation row may also stand for
+    several periods of the same attributes: then `period` and `status` are arrays of one length, and the periods are
+    never rows of their own. A basis week without a fact row counts as zero production; null inputs and zero
+    denominators make the week undefined.
     """
     if comparison not in COMPARISONS or basis not in BASES:
         raise ValueError(f"unknown comparison {comparison!r} or basis {basis!r}")
-    keys = [*entity, period]
-    fields = compile_formula(formula, allowed).fields
-    f = facts.select(*keys, F.struct(*attributes).alias("_f"), *fields, F.lit(True).alias("_fact"))
+    compiled = compile_formula(formula, allowed)
+    who = F.struct(*attributes)
+    f = facts.select(*entity, F.struct(
+        F.col(period).alias("period"), who.alias("who"), compiled.value.alias("value"), compiled.status.alias("status")).alias("_f"))
     # On the basis of stat rows nothing of the participation counts: neither its weeks nor its attributes.
     participation = participation.filter(F.lit(basis != "stat_row"))
-    p = participation.select(*keys, F.struct(*attributes).alias("_p"), (F.col("status") == "ACT").alias("_act"),
-                             F.lit(True).alias("_roster"))
-    weeks = (
-        f.unionByName(p, allowMissingColumns=True).groupBy(*keys)
-        .agg(*[F.max(c).alias(c) for c in ("_f", "_p", "_fact", "_act", "_roster", *fields)])
-    )
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    weeks = weeks.select(
-        *keys, F.coalesce("_p", "_f").alias("_who"), yes("_fact").alias("has_fact"),
-        (yes("_act")).alias("is_active"), yes("_roster").alias("is_rostered"),
-        *[F.when(yes("_fact"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in fields],
-    )
-    compiled = compile_formula(formula, allowed)
-    counted = F.col(BASES[basis])
-    weeks = weeks.withColumn("_in", counted).withColumn("_value", F.when(counted, compiled.value))
-    weeks = weeks.withColumn("_undefined", counted & compiled.status.isNotNull())
-    weeks = weeks.withColumn(
-        "_hit", F.coalesce(COMPARISONS[comparison](F.col("_value"), F.lit(float(threshold))), F.lit(False)))
-    week_list = lambda flag: F.array_sort(F.collect_list(F.when(F.col(flag), F.col(period))))
-    out = weeks.groupBy(*entity).agg(
-        F.max_by(F.when(F.col("_in"), F.col("_who")), F.when(F.col("_in"), F.col(period))).alias("_who"),
-        F.count_if("has_fact").alias("stat_row_games"),
-        F.count_if("is_active").alias("active_games"),
-        F.count_if("is_rostered").alias("team_games"),
-        F.count_if("_in").alias("denominator_games"),
-        F.count("_value").alias("evaluated_games"),
-        F.count_if("_undefined").alias("undefined_games"),
+    listed = isinstance(participation.schema[period].dataType, T.ArrayType)
+    each = lambda c: F.col(c) if listed else F.array(c)
+    p = participation.select(*entity, F.struct(
+        each(period).alias("periods"), F.transform(each("status"), lambda s: F.coalesce(s == "ACT", F.lit(False))).alias("active"),
+        who.alias("who")).alias("_p"))
+    lists = f.unionByName(p, allowMissingColumns=True).groupBy(*entity).agg(F.collect_list("_f").alias("_f"), F.collect_list("_p").alias("_p"))
+    # What a week without production gives.
+    lists = lists.withColumns({c: F.lit(0.0) for c in compiled.fields})
+    lists = lists.select(*entity, "_f", F.struct(compiled.value.alias("value"), compiled.status.alias("status")).alias("_zero"), F.flatten(F.transform(
+        "_p", lambda block: F.transform(F.arrays_zip(block["periods"], block["active"]), lambda x: F.struct(
+            x["periods"].alias("period"), x["active"].alias("active"), block["who"].alias("who"))))).alias("_p"))
+
+    def of_period(rows: str, x: Column) -> Column:
+        return F.array_max(F.filter(rows, lambda row: row["period"].eqNullSafe(x)))
+
+    periods = F.array_distinct(F.concat(F.transform("_p", lambda x: x["period"]), F.transform("_f", lambda x: x["period"])))
+    weeks = lists.select(*entity, "_zero", F.transform(periods, lambda x: F.struct(
+        x.alias("period"), of_period("_f", x).alias("f"), of_period("_p", x).alias("p"))).alias("_weeks"))
+    bases = {"has_fact": lambda w: w["f"].isNotNull(), "is_rostered": lambda w: w["p"].isNotNull(),
+             "is_active": lambda w: F.coalesce(w["p"]["active"], F.lit(False))}
+    produced = lambda w, c: F.when(w["f"].isNotNull(), w["f"][c]).otherwise(F.col("_zero")[c])
+    inside = weeks.select(*entity, "_weeks", F.transform(F.filter("_weeks", bases[BASES[basis]]), lambda w: F.struct(
+        w["period"].alias("period"), F.when(w["p"].isNotNull(), w["p"]["who"]).otherwise(w["f"]["who"]).alias("who"),
+        produced(w, "value").alias("value"), produced(w, "status").alias("status"))).alias("_in"))
+    inside = inside.withColumns({
+        "_values": F.array_sort(F.filter(F.transform("_in", lambda w: w["value"]), lambda v: v.isNotNull())),
+        "_undefined": F.filter("_in", lambda w: w["status"].isNotNull()),
+        "_hit": F.filter("_in", lambda w: F.coalesce(COMPARISONS[comparison](w["value"], F.lit(float(threshold))), F.lit(False)))})
+    number = lambda c: F.size(c).cast("bigint")
+    week_list = lambda c: F.array_sort(F.array_compact(F.transform(c, lambda w: w["period"])))
+    n = F.size("_values")
+    low, high = (F.get("_values", F.floor((n - i) / 2).cast("int")) for i in (1, 0))
+    out = inside.select(
+        *entity, F.array_max(F.transform(F.filter("_in", lambda w: w["period"].isNotNull()), lambda w: F.struct(
+            w["period"].alias("period"), w["who"].alias("who"))))["who"].alias("_who"),
+        number(F.filter("_weeks", bases["has_fact"])).alias("stat_row_games"),
+        number(F.filter("_weeks", bases["is_active"])).alias("active_games"),
+        number(F.filter("_weeks", bases["is_rostered"])).alias("team_games"),
+        number("_in").alias("denominator_games"),
+        number("_values").alias("evaluated_games"),
+        number("_undefined").alias("undefined_games"),
         week_list("_undefined").alias("undefined_weeks"),
-        F.count_if("_hit").alias("qualifying_games"),
+        number("_hit").alias("qualifying_games"),
         week_list("_hit").alias("qualifying_weeks"),
-        F.avg("_value").alias("average"),
-        F.median("_value").alias("median"),
+        F.when(n > 0, F.aggregate("_values", F.lit(0.0), lambda total, v: total + v) / n).alias("average"),
+        F.when(n > 0, F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)).alias("median"),
     )
     return out.select(
         *entity, *[F.col(f"_who.{a}").alias(a) for a in attributes],

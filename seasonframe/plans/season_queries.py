@@ -152,14 +152,15 @@ def weekly_facts(spark, d):
 
 
 def participation(spark, d):
-    """Every month of a season in which the entity has any order; overdrawn ones rest until June."""
+    """Every month of a season in which the entity has any order, as one list; overdrawn ones rest until June."""
     seasons = facts(spark, d).select("entity", "season").distinct()
-    weeks = facts(spark, d).select("season", "week").distinct()
+    # One row per season, bounded by the calendar.
+    weeks = facts(spark, d).groupBy("season").agg(F.array_sort(F.collect_set("week")).alias("week"))
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("grp"),
         F.col("c_nationkey").cast("string").alias("team"), "c_acctbal")
-    status = F.when((F.col("c_acctbal") < 0) & (F.col("week") <= 6), "RES").otherwise("ACT")
-    return seasons.join(weeks, "season").join(c, "entity").select(
+    status = F.transform("week", lambda w: F.when((F.col("c_acctbal") < 0) & (w <= 6), "RES").otherwise("ACT"))
+    return seasons.join(F.broadcast(weeks), "season").join(c, "entity").select(
         "entity", "season", "week", "grp", "team", status.alias("status"))
 
 
